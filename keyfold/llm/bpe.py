@@ -12,10 +12,12 @@ from __future__ import annotations
 
 import heapq
 import json
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,9 +68,15 @@ class Vocabulary:
             self.made[x, y] = (k, z)
         order = np.argsort(keys)
         self.keys, self.key_rank = keys[order], order.astype(np.int64)
-        self.longest = {}  # longest token that starts with these two bytes
+        self.rank_id = np.fromiter((self.made[k >> 32, k & 0xFFFFFFFF][1] for k in keys.tolist()), np.int64, len(keys))
+        lengths: dict[bytes, set[int]] = {}
         for s in self.ids:
-            self.longest[s[:2]] = max(self.longest.get(s[:2], 0), len(s))
+            lengths.setdefault(s[:2], set()).add(len(s))
+        self.lengths = {p: tuple(sorted(ls, reverse=True)) for p, ls in lengths.items()}  # of the tokens that start with two bytes
+        spelled = np.fromiter(map(len, self.bytes), np.int64, size)
+        self.spelled_at, self.spelled_n = np.cumsum(spelled) - spelled, spelled
+        self.spelled = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.byte_id = np.fromiter((self.ids[bytes([b])] for b in range(256)), np.int64, 256)
         self.whole = np.full(size, -1, np.int8)  # whether a token's bytes merge to that token; -1: not yet known
         self.split = regex.compile(SPLIT)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -123,13 +131,48 @@ class Vocabulary:
 
     def proposed(self, word: bytes) -> list[int]:
         """Greedy longest match."""
-        out, at, n, ids = [], 0, len(word), self.ids
+        out, at, n, ids, lengths = [], 0, len(word), self.ids, self.lengths
         while at < n:
-            for end in range(min(n, at + self.longest.get(word[at : at + 2], 1)), at, -1):
-                if (t := ids.get(word[at:end])) is not None:
+            for k in lengths.get(word[at : at + 2], ()):
+                if at + k <= n and (part := word[at : at + k]) in ids:
                     break
-            out.append(t)
-            at = end
+            else:
+                part = word[at : at + 1]
+            out.append(ids[part])
+            at += len(part)
+        return out
+
+    def merged_together(self, words: list[bytes]) -> list[list[int]]:
+        """merged() for short words, all in step: a row for each word, its best merge in each round."""
+        n, most = len(words), max(map(len, words))
+        size = np.fromiter(map(len, words), np.int64, n)
+        ids = np.full((n, most + 1), -1, np.int64)
+        ids[:, :most][np.arange(most) < size[:, None]] = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
+        rank = self.pair_rank(ids[:, :-1], ids[:, 1:])
+        rank[(ids[:, :-1] < 0) | (ids[:, 1:] < 0)] = NEVER
+        out: list[list[int]] = [[]] * n
+        rows, place = np.arange(n), np.arange(most)
+        while len(rows):
+            at = rank.argmin(axis=1)
+            here = np.arange(len(rows))
+            best = rank[here, at]
+            over = best == NEVER
+            for i, r in zip(np.flatnonzero(over), rows[over], strict=True):
+                out[r] = [t for t in ids[i].tolist() if t >= 0]
+            go = ~over
+            rows, ids, rank, at, best = rows[go], ids[go], rank[go], at[go], best[go]
+            if not len(rows):
+                break
+            here = np.arange(len(rows))
+            move = place + (place > at[:, None])  # the merged pair's second place goes
+            ids[:, :-1] = np.take_along_axis(ids, np.minimum(move, most), 1)
+            ids[:, -1] = -1
+            rank = np.take_along_axis(np.pad(rank, ((0, 0), (0, 1)), constant_values=NEVER), np.minimum(move, most), 1)
+            ids[here, at] = self.rank_id[best]
+            for k in (-1, 0):
+                i = np.flatnonzero(at + k >= 0)
+                x, y = ids[i, at[i] + k], ids[i, at[i] + k + 1]
+                rank[i, at[i] + k] = np.where((x >= 0) & (y >= 0), self.pair_rank(x, y), NEVER)
         return out
 
     def verdicts(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -163,8 +206,15 @@ class Vocabulary:
             inside = owner[1:] == owner[:-1]
             bad = ~self.verdicts(flat[:-1][inside], flat[1:][inside])
             failed[owner[1:][inside][bad]] = True
-        for i in np.flatnonzero(failed):
-            out[i] = self.merged(words[i])
+        short: dict[int, list[int]] = {}
+        for i in np.flatnonzero(failed).tolist():
+            if len(words[i]) <= 32:
+                short.setdefault(len(words[i]) // 4, []).append(i)
+            else:
+                out[i] = self.merged(words[i])
+        for rows in short.values():
+            for i, ids in zip(rows, self.merged_together([words[i] for i in rows]), strict=True):
+                out[i] = ids
         return out
 
     def cut_text(self, text: str) -> Iterator[str | int]:
@@ -182,15 +232,28 @@ class Vocabulary:
         known = self.words
         if len(known) > REMEMBERED:
             known.clear()
-        new = list({w for ws in cut for w in set(ws) if w not in known and isinstance(w, str)})
-        now = dict(zip(new, (np.array(ids, "<i4").tobytes() for ids in self.encode_words([w.encode() for w in new])), strict=True))
-        known.update((w, b) for w, b in now.items() if len(w) <= REMEMBERED_CHARS)
-        now.update((t, np.array([t], "<i4").tobytes()) for t in self.special.values())
-        get = lambda w: known.get(w) or now[w]
-        parts = [b"".join(map(get, ws)) for ws in cut]
+        known.update((t, np.array([t], "<i4").tobytes()) for t in self.special.values())
+        new = list(set().union(*cut) - known.keys())
+        known.update(zip(new, (array("i", ids).tobytes() for ids in self.encode_words([w.encode() for w in new])), strict=True))
+        parts = [b"".join(map(known.__getitem__, ws)) for ws in cut]
+        for w in new:
+            if len(w) > REMEMBERED_CHARS:
+                del known[w]
         return np.frombuffer(b"".join(parts), "<i4"), np.fromiter((len(p) >> 2 for p in parts), np.int64, len(parts))
 
 
+    def decode(self, column: pa.Array) -> list[str]:
+        """The texts of a column of id lists: the tokens' bytes are gathered for all lists at once."""
+        flat, rows = column.flatten(), pc.coalesce(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+        gone = np.asarray(flat.is_null())
+        t = np.asarray(flat.fill_null(0)).astype(np.int64)
+        n = np.where(gone, 0, self.spelled_n[t])
+        ends = np.cumsum(n)
+        spelled = self.spelled[np.repeat(self.spelled_at[t] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        stops = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(rows)])].tolist()
+        return [spelled[a:b].decode("utf-8", "replace") for a, b in zip(stops[:-1], stops[1:], strict=True)]
+
+
 _LOADED: dict[str, Vocabulary] = {}
 
 
@@ -228,13 +291,12 @@ def decode(df: DataFrame, vocabulary_path: str, ids: str = "ids", text: str = "d
     schema = T.StructType([*df.schema.fields, T.StructField(text, T.StringType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelled = vocabulary(vocabulary_path).bytes
+        v = vocabulary(vocabulary_path)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
-            for row in range(0, len(column), 200):
-                part = column.slice(row, 200)
-                texts = [b"".join([spelled[t] for t in (x or ()) if t is not None]).decode("utf-8", "replace") for x in part.to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.slice(row, 200).columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text])
+            for row in range(0, len(column), 500):
+                texts = v.decode(column.slice(row, 500))
+                yield pa.RecordBatch.from_arrays([*batch.slice(row, 500).columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text])
 
     return df.mapInArrow(run, schema)
 
