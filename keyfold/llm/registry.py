@@ -6,19 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyfold.llm import bpe, packing, vafile
+from keyfold.llm import bpe, mixing, near, packing, quality, rules, vafile
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     found = [
+        near.op2_near_duplicates,
         bpe.op3_bpe_encode_decode,
         vafile.op4_exact_top_k,
+        quality.op5_quality_classifier,
+        rules.op6_quality_rules,
         packing.op7_bit_packed_ids,
+        mixing.op8_entropy_mixing,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**vafile.ORACLE}
+    return {**near.ORACLE, **vafile.ORACLE, **rules.ORACLE}
