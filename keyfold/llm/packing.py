@@ -35,7 +35,10 @@ MAGIC, HEAD = b"KFB1", struct.Struct("<4sIQII")
 BLOCK = 4096
 #: Ids of a shard: it is closed by the document that reaches this number.
 SHARD = 1 << 20
-REMEMBERED = 250_000
+#: Words whose ids a worker remembers.
+REMEMBERED = 800_000
+#: Punctuation that may end a word; none of it composes with a letter before or starts a contraction.
+TAIL = b".,;:!?#$%&*|"
 SHARDS = "part int, shard int, n_ids bigint, doc_ids array<bigint>, counts array<bigint>, image binary"
 
 
@@ -93,7 +96,7 @@ class WordEncoder:
     """Encodes with the tokenizers library, each distinct word once per worker.
 
     Good for vocabularies that drop white space: no token and no step of normalising reaches over
-    ASCII white space, so a text's ids are those of its words in a row.
+    ASCII white space, so a text's ids are those of its words in a row. The vocabulary must fold case.
     """
 
     def __init__(self, path: str):
@@ -104,21 +107,52 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.bits = width(self.tokenizer.get_vocab_size(with_added_tokens=True))
-        self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and t.content.startswith("<|") and not (t.lstrip or t.rstrip or t.single_word)]
+        self.between, self.between_id = special[-1] if special else (None, -1)
         self.known: dict[bytes, bytes] = {}
 
+    def together(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word. Many words are one text with a special token between them, which the library
+        cuts out before anything else; words that could hold a special token's string go alone."""
+        out: list[bytes] = []
+        for i in range(0, len(words), 64):
+            part = [w.decode() for w in words[i : i + 64]]
+            flat = np.array(self.tokenizer.encode(self.between.join(part), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(flat == self.between_id)
+            if len(cuts) != len(part) - 1:
+                raise ValueError("a word holds the separating token")
+            raw, ends = flat.tobytes(), [*(4 * cuts).tolist(), 4 * len(flat)]
+            out += [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends[:-1])], ends, strict=True)]
+        return out
+
+    def alone(self, word: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def cut(self, word: bytes) -> tuple[bytes, bytes]:
+        """(core, tail) whose ids in a row are the word's: case is folded by the vocabulary, and a run of
+        punctuation after a letter or digit is a piece of its own."""
+        core = word.rstrip(TAIL)
+        if core and core != word and (chr(core[-1]).isalnum() if core[-1] < 128 else core.decode()[-1].isalpha()):
+            return core.lower(), word[len(core) :]
+        return word.lower(), b""
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian u32."""
         known, cut = self.known, [t.split() for t in texts]
         if len(known) > REMEMBERED:
             known.clear()
         new = list(set().union(*cut) - known.keys())
-        for i in range(0, len(new), 5000):
-            part = new[i : i + 5000]
-            got = self.batch([w.decode() for w in part], add_special_tokens=False)
-            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, got, strict=True))
+        if self.between is None:
+            odd, plain = new, []
+        else:
+            odd, plain = [w for w in new if b"<|" in w], [w for w in new if b"<|" not in w]
+        halves = [self.cut(w) for w in plain]
+        need = list({h for pair in halves for h in pair if h} - known.keys())
+        known.update(zip(need, self.together(need), strict=True))
+        known.update((w, known[a] + known[b] if b else known[a]) for w, (a, b) in zip(plain, halves, strict=True))
+        known.update((w, self.alone(w)) for w in odd)
         out = [b"".join(map(known.__getitem__, ws)) for ws in cut]
-        for w in new:
+        for w in {*new, *need}:
             if len(w) > 64:
                 del known[w]
         return out
@@ -172,46 +206,44 @@ def write_packed(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int)
     ordered.mapInArrow(run, SHARDS).write.parquet(folder)
 
 
-def read_shards(spark: SparkSession, folder: str) -> DataFrame:
-    """The shards with `start`, the number of ids in all shards before.
+def shard_starts(shards: DataFrame) -> DataFrame:
+    """(part, shard, start): the number of ids in all shards before.
 
-    Only (part, shard, n_ids) is summed up: within parts by a window, over parts (one row for each
-    writing task) by another.
+    Only (part, shard, n_ids) is read and summed up: within parts by a window, over parts (one row for
+    each writing task) by another.
     """
-    shards = spark.read.schema(SHARDS).parquet(folder)
     sizes = shards.select("part", "shard", "n_ids")
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = parts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("part_start"))
     inside = sizes.select("part", "shard", (F.sum("n_ids").over(W.partitionBy("part").orderBy("shard")) - F.col("n_ids")).alias("shard_start"))
-    starts = inside.join(before, "part").select("part", "shard", (F.col("part_start") + F.col("shard_start")).alias("start"))
-    return shards.join(starts, ["part", "shard"])
-
+    return inside.join(before, "part").select("part", "shard", (F.col("part_start") + F.col("shard_start")).alias("start"))
 
-def read_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Unpacks the shards: doc_id, start (ids of all documents before it), ids (array of int)."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start, docs, counts, image in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                flat, counts = unpack(image).astype(np.int32), np.array(counts, np.int64)
-                starts = start + np.concatenate([[0], np.cumsum(counts)[:-1]])
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), K.list_array(flat, counts, pa.int32())], names=["doc_id", "start", "ids"])
-
-    return read_shards(spark, folder).select("start", "doc_ids", "counts", "image").mapInArrow(run, "doc_id bigint, start bigint, ids array<int>")
+def read_documents(spark: SparkSession, folder: str, digests: bool = False) -> DataFrame:
+    """Reads and unpacks the shards where they lie: doc_id, start (ids of all documents before it), n_tokens and
+    ids (array of int), or with digests ids_crc32 (unsigned, of the ids as little-endian u32) in their place.
 
-
-def digests(spark: SparkSession, folder: str) -> DataFrame:
-    """Reads the files back: doc_id, start, n_tokens, ids_crc32 of every document."""
+    Shards are not moved; the starts of the shards come to the unpacked documents by a join.
+    """
+    shards = spark.read.schema(SHARDS).parquet(folder)
+    last, kind = ("ids_crc32", "bigint") if digests else ("ids", "array<int>")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, docs, counts, image in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                raw, counts = memoryview(unpack(image).astype("<u4").tobytes()), np.array(counts, np.int64)
+            for i in range(batch.num_rows):
+                part, shard, docs, counts, image = (batch.column(c)[i].as_py() for c in range(5))
+                flat, counts = unpack(image), np.array(counts, np.int64)
                 ends = np.cumsum(counts)
-                crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (docs, start + ends - counts, counts, crc)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                if digests:
+                    raw = memoryview(flat.astype("<u4").tobytes())
+                    found = pa.array([zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)], pa.int64())
+                else:
+                    found = K.list_array(flat.astype(np.int32), counts, pa.int32())
+                columns = [pa.array(np.full(len(docs), v, np.int32)) for v in (part, shard)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(docs, pa.int64()), pa.array(ends - counts), pa.array(counts), found], names=["part", "shard", "doc_id", "inside", "n_tokens", last])
 
-    return read_shards(spark, folder).select("start", "doc_ids", "counts", "image").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    rows = shards.select("part", "shard", "doc_ids", "counts", "image").mapInArrow(run, f"part int, shard int, doc_id bigint, inside bigint, n_tokens bigint, {last} {kind}")
+    return rows.join(shard_starts(shards), ["part", "shard"]).select("doc_id", (F.col("start") + F.col("inside")).alias("start"), "n_tokens", last)
 
 
 def op7_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,4 +251,4 @@ def op7_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     folder = f"{shared_folder(spark)}/packed-{uuid.uuid4().hex}"
     write_packed(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
-    return digests(spark, folder)
+    return read_documents(spark, folder, digests=True)
