@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyfold.llm import bpe, mixing, near, packing, quality, rules, vafile
+from keyfold.llm import bpe, lempel, mixing, near, packing, quality, rules, suffix, vafile
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,8 @@ def queries() -> dict[str, Query]:
         rules.op6_quality_rules,
         packing.op7_bit_packed_ids,
         mixing.op8_entropy_mixing,
+        suffix.op9_suffix_dedup,
+        lempel.op10_substring_dedup,
     ]
     return {f.__name__: f for f in found}
 
