@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyfold.llm import bpe, lempel, mixing, near, packing, quality, rules, suffix, vafile
+from keyfold.llm import bpe, language, lempel, mixing, near, packing, quality, rules, suffix, vafile
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     found = [
+        language.op1_language_model,
         near.op2_near_duplicates,
         bpe.op3_bpe_encode_decode,
         vafile.op4_exact_top_k,
