@@ -5,10 +5,12 @@ each class goes on. Bands of its MinHash signature make candidates; a candidate
 compared batch by batch, and the pair is dropped as soon as the posterior probability that its similarity
 reaches the threshold is below MISS; the survivors' whole shingle sets are compared exactly.
 
-A bucket of a band is never spread into all its pairs at first. Each member is compared with one pivot of
-the bucket; links make components. Pairs of one component need no comparison any more. Further rounds
-take other pivots for buckets that still hold several components, and in the end every pair of a bucket
-whose components differ, and which wasn't compared before, is compared: no candidate is lost.
+A bucket of a band is never spread into all its pairs. Its members are compared with the bucket's hub, the
+member that shares the most buckets with others; links make components, and pairs within one component
+need no comparison any more. Buckets that still hold several components have a hub of another component
+compared next, and in the end every pair that differs in component is compared, unless its shingle sets
+cannot overlap enough: shingles that only one of these documents has match nothing, so sets of n1 and n2
+shingles with u1 and u2 such ones share at most min(n1 - u1, n2 - u2). No link is lost by that.
 
 With BANDS bands of ROWS rows a pair at the threshold shares no bucket with probability below 1e-6.
 
@@ -34,8 +36,8 @@ from keyfold.llm.components import components
 BANDS, ROWS = 24, 5
 #: Signature values compared at a time, and the posterior below which a pair is given up.
 BATCH, MISS = 24, 1e-6
-#: Rounds of pivots after the first, and the pairs per document that may be left for the last round to stop earlier.
-ROUNDS, FEW = 3, 2
+#: Rounds of hubs after the first; they end when no more pairs than FEW for each document are left to compare.
+ROUNDS, FEW = 2, 4
 
 _rng = np.random.default_rng(20240311)
 _A = (_rng.integers(0, 1 << 31, BANDS * ROWS) * 2 + 1).astype(np.uint32)
@@ -165,6 +167,24 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return both.select("a", "b", "t_a", "t_b").mapInArrow(run, "a bigint, b bigint, linked boolean")
 
 
+def shared_shingles(texts: DataFrame, rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(node, n_shingles, most) of the nodes in rows: most is the number of their shingles that another one of
+    them has as well."""
+    some = texts.join(rows.select("node").distinct(), "node", "left_semi").select("node", "text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offs = K.text_buffer(batch.column(1))
+            node = np.asarray(batch.column(0))
+            for first, end in K.pieces(offs):
+                g, d = shingles(buf[offs[first] : offs[end]], offs[first : end + 1] - offs[first], size)
+                yield pa.RecordBatch.from_arrays([pa.array(node[first:end][d]), pa.array(g.view(np.int64))], names=["node", "g"])
+
+    single = some.mapInArrow(run, "node bigint, g bigint").groupBy("g").agg(F.min("node").alias("node"), F.max("node").alias("other")).where(F.col("node") == F.col("other"))
+    alone = single.groupBy("node").agg(F.count("*").alias("u"))
+    return nodes.join(some.select("node").distinct(), "node", "left_semi").join(alone, "node", "left").select("node", "n_shingles", (F.col("n_shingles") - F.coalesce("u", F.lit(0))).alias("most"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs.
 
@@ -182,42 +202,49 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
     nodes = written(full.join(members.where(F.col("doc_id") == F.col("node")), ["doc_id", "c1", "c2", "n_shingles"]).dropDuplicates(["doc_id", "c1", "c2"]).select("node", "c1", "n_shingles", "bands", "signature"), "nodes")
     texts = rows.where(F.col("doc_id").isNotNull()).withColumnRenamed("doc_id", "node")
     bands = nodes.select("node", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("last")).where(F.col("a") != F.col("last")).select("band", "a")
-    buckets = written(bands.join(shared, "band"), "buckets")  # only members of buckets with company
-    pairs = buckets.where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct()
+    shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = written(bands.join(shared, "band"), "buckets")  # members of buckets with company
+    degrees = written(buckets.groupBy("node").agg(F.sum("n").alias("degree")), "degrees")
+    candidates = written(texts.join(degrees, "node", "left_semi"), "candidates")
+    members_of = written(buckets.join(degrees, "node").select("band", "node", "degree"), "bucket-members")
+    forget(buckets)
+    hubs = members_of.groupBy("band").agg(F.max_by("node", F.struct(F.col("degree"), -F.col("node"))).alias("hub"))
+    pairs = members_of.join(hubs, "band").where(F.col("node") != F.col("hub")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
     links, tested, last = None, None, False
     own = members.where(F.col("doc_id") != F.col("node")).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     for k in range(ROUNDS + 2):
         new = written(pairs, "pairs")
-        verdict = written(confirmed(surviving(new, nodes, percent), texts, size, percent), "verdict")
+        verdict = written(confirmed(surviving(new, nodes, percent), candidates, size, percent), "verdict")
         tested = new if tested is None else tested.unionByName(new)
         linked = verdict.where("linked").select("a", "b")
         links = linked if links is None else links.unionByName(linked)
-        joined = written(components(links), "components")
         if last:
             break
-        held = buckets.select("band", "node").join(joined, "node", "left").select("band", "node", F.coalesce("component", "node").alias("c"))
-        mixed = held.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", F.lit(k))).alias("p")).where((F.col("c0") != F.col("c1")) & (F.col("n") > 2))
-        open_rows = written(held.join(mixed.select("band", "n", "p"), "band"), "open")
-        load = open_rows.groupBy("band", "c").agg(F.count("*").cast("double").alias("m"), F.first("n").alias("n")).agg(F.sum(F.col("m") * (F.col("n") - F.col("m"))) / 2).first()[0]
+        joined = written(components(links), "components")
+        held = members_of.join(joined, "node", "left").select("band", "node", "degree", F.coalesce("component", "node").alias("c"))
+        hub = F.max_by(F.struct("node", "c"), F.struct(F.xxhash64("c", F.lit(k)), F.col("degree"))).alias("hub")
+        mixed = held.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n"), hub).where((F.col("c0") != F.col("c1")) & (F.col("n") > 2))
+        still = written(held.join(mixed.select("band", "hub"), "band"), "open")
+        forget(joined)
+        matching = shared_shingles(candidates, still, nodes, size).where(100 * F.col("most") >= percent * F.col("n_shingles"))
+        rest = written(still.join(matching, "node"), "open")
+        per = rest.groupBy("band", "c").agg(F.count("*").cast("double").alias("m"))
+        load = per.groupBy("band").agg(((F.sum("m") ** 2 - F.sum(F.col("m") ** 2)) / 2).alias("pairs")).agg(F.sum("pairs")).first()[0]
         if not load:
             break
-        sizes = nodes.select("node", "n_shingles")
         last = k == ROUNDS or load <= FEW * nodes.count()
         if last:
-            x = open_rows.join(sizes, "node").select("band", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("n_shingles").alias("na"))
-            y = open_rows.join(sizes, "node").select("band", F.col("node").alias("b"), F.col("c").alias("cb"), F.col("n_shingles").alias("nb"))
-            close = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-            pairs = x.join(y, "band").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close).select("a", "b")
+            side = lambda x: rest.select("band", F.col("node").alias(x), F.col("c").alias(f"c_{x}"), F.col("n_shingles").alias(f"n_{x}"), F.col("most").alias(f"m_{x}"))
+            most = F.least("m_a", "m_b")
+            able = (100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))
+            pairs = side("a").join(side("b"), "band").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & able).select("a", "b")
         else:
-            pivot = open_rows.where(F.col("node") == F.col("p")).select("band", F.col("c").alias("pc"))
-            pairs = open_rows.join(pivot, "band").where(F.col("c") != F.col("pc")).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
+            pairs = rest.where(F.col("c") != F.col("hub.c")).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
         pairs = pairs.distinct().join(tested, ["a", "b"], "left_anti")
 
     # rows of one doc_id are one node: their classes are linked through it
     whole = written(components(links.unionByName(own)), "components")
-    forget(buckets)
     out = sketches.join(whole, sketches.doc_id == whole.node, "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
