@@ -111,3 +111,27 @@ def lists(log: DataFrame) -> DataFrame:
     )
     folded = ops.select("key", F.posexplode(F.aggregate("ops", F.array().cast("array<string>"), step)).alias("pos", "value"))
     return simple.unionByName(folded.select("key", F.col("pos").cast("bigint").alias("pos"), "value"))
+
+
+CREATES = {"sadd": "set", "zadd": "zset", "lpush": "list", "rpush": "list", "hset": "hash"}
+
+
+def strings(log: DataFrame) -> DataFrame:
+    """(key, value) of the keys whose last reset is a set (args: value, seconds to live)."""
+    last = log.where(F.col("op").isin("remove", "set")).groupBy("key").agg(F.max_by(F.struct("op", F.get("args", F.lit(0)).alias("value")), "seq").alias("v"))
+    return last.where("v.op = 'set'").select("key", "v.value")
+
+
+def keyspace(log: DataFrame) -> DataFrame:
+    """(key, vtype, expire_time) of the keys that are there after a log, expired ones included.
+
+    The first creating write of an epoch decides on the type; the last expire, or the set itself, on the deadline.
+    Emptied collections are still there.
+    """
+    kinds = F.create_map(*[F.lit(x) for pair in CREATES.items() for x in pair])
+    made = epochs(log).where(F.col("op").isin(*CREATES)).groupBy("key").agg(F.min_by(F.try_element_at(kinds, F.col("op")), "seq").alias("vtype"))
+    there = made.unionByName(strings(log).select("key", F.lit("string").alias("vtype")))
+    seconds = F.when(F.col("op") == "set", F.get("args", F.lit(1))).otherwise(F.get("args", F.lit(0))).try_cast("bigint")
+    deadline = F.when(F.coalesce(seconds, F.lit(0)) > 0, F.unix_seconds("ts") + seconds).otherwise(0)
+    ends = epochs(log, ("remove",)).where(F.col("op").isin("set", "expire")).groupBy("key").agg(F.max_by(deadline, "seq").cast("bigint").alias("expire_time"))
+    return there.join(ends, "key", "left").select("key", "vtype", F.coalesce("expire_time", F.lit(0).cast("bigint")).alias("expire_time"))
