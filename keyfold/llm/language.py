@@ -1,8 +1,8 @@
 """Operator 1: language-model scoring with a log-frequency Bloom filter of quantised n-gram counts.
 
 Counts of words and word pairs are quantised to levels, level j for counts of about BASE ** (j - 1), and an
-n-gram of level j is put into a Bloom filter j times, as (n-gram, 1) ... (n-gram, j). The filter is made in
-shards by hash, each by one task from the n-grams that fall to it, and broadcast to the workers. A count is
+n-gram of level j is put into a Bloom filter j times, as (n-gram, 1) ... (n-gram, j). All bits of an entry are
+in one 64-bit word, so that a probe is one look at memory. The filter is made in shards by hash, each by one task from the n-grams that fall to it, and broadcast to the workers. A count is
 read back by probing (n-gram, 1), (n-gram, 2) ... until one is missing: the level is never underestimated
 and overestimated with the filter's small false-positive rate at each step. A pair's probability is
 smoothed toward its word's: (c(v, w) + PRIOR * p(w)) / (c(v) + PRIOR).
@@ -32,9 +32,9 @@ from keyfold.llm import kernels as K
 from keyfold.llm.common import bounded_batches, table, written
 
 BASE, PRIOR = 1.5, 60.0
-BITS, PROBES, MOST_BYTES = 8, 5, 1 << 27
+BITS, PROBES, MOST_BYTES = 8, 4, 1 << 27
 #: Tokens that make one shard; tokens counted together before they leave a task; frequent words.
-SHARD_TOKENS, TOGETHER, COMMON = 400_000, 3_000_000, 20_000
+SHARD_TOKENS, TOGETHER, COMMON = 400_000, 2_000_000, 100_000
 START, END = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xEB44ACCAB455D165)
 PAIR = np.uint64(0xD6E8FEB86659FD93)
 LOW48 = np.uint64((1 << 48) - 1)
@@ -103,32 +103,23 @@ def word_counts(train: DataFrame) -> DataFrame:
 
 @dataclass
 class Filter:
-    """The filter's bits, and where each shard's begin and how many they are."""
+    """The filter's words, and where each shard's begin and how many they are."""
 
-    bits: np.ndarray
+    words: np.ndarray
     first: np.ndarray
     size: np.ndarray
 
-    def has(self, h: np.ndarray, level: int) -> np.ndarray:
-        shard = shard_of(h, len(self.first))
-        out = np.ones(len(h), bool)
-        at = np.arange(len(h))
-        for bit in probes(h, level, self.size[shard]):
-            i = self.first[shard[at]] + bit(at)
-            at = at[(self.bits[i >> 3] >> (i & 7).astype(np.uint8)) & 1 == 1]
-        out[:] = False
-        out[at] = True
-        return out
-
     def level(self, h: np.ndarray) -> np.ndarray:
         """The level of each n-gram: 0 if it isn't there."""
         out, at, j = np.zeros(len(h), np.int64), np.arange(len(h)), 1
-        while len(at):
-            at = at[self.has(h[at], j)]
+        shard = shard_of(h, len(self.first))
+        first, size = self.first[shard], self.size[shard]
+        while len(at) and j <= 120:
+            word, mask = probe(h, j, size)
+            there = (self.words[first + word] & mask) == mask
+            at, h, first, size = at[there], h[there], first[there], size[there]
             out[at] = j
             j += 1
-            if j > 120:
-                break
         return out
 
 
@@ -137,12 +128,14 @@ def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> np.uint64(16)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-def probes(h: np.ndarray, level: int, size: np.ndarray):
-    """Functions from indexes into h to bit numbers, one for each probe of (h, level)."""
+def probe(h: np.ndarray, level: int, size: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """The word of a shard of `size` words and the bits in it that stand for (h, level)."""
     x = K.mix(h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level))
-    y = (x >> np.uint64(32)) | np.uint64(1)
+    word = (x >> np.uint64(32)) * np.asarray(size, np.uint64) >> np.uint64(32)
+    mask = np.zeros(len(h), np.uint64)
     for p in range(PROBES):
-        yield lambda at, p=p: (((x[at] + np.uint64(p) * y[at]) & np.uint64(0xFFFFFFFF)) * size[at].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+        mask |= np.uint64(1) << (x >> np.uint64(6 * p) & np.uint64(63))
+    return word.astype(np.int64), mask
 
 
 def level_of(count: np.ndarray) -> np.ndarray:
@@ -162,7 +155,7 @@ def build_filter(train: DataFrame, n_tokens: int) -> Filter:
     A task sends each shard one row of packed counts for every TOGETHER tokens it has read.
     """
     shards = max(16, -(-n_tokens // SHARD_TOKENS))
-    most = max(64, 8 * MOST_BYTES // shards // 8 * 8)
+    most = max(1, MOST_BYTES // 8 // shards)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -191,21 +184,20 @@ def build_filter(train: DataFrame, n_tokens: int) -> Filter:
         wide[:, :6] = six
         h, back = np.unique(wide.view("<u8").ravel(), return_inverse=True)
         levels = level_of(np.maximum(np.bincount(back, np.frombuffer(b"".join(group["n"].to_pylist()), "<u4")), 1))
-        size = int(min(most, -(-BITS * int(levels.sum()) // 8) * 8 + 64))
-        bits = np.zeros(size, np.uint8)
+        size = int(min(most, 1 + BITS * int(levels.sum()) // 64))
+        words = np.zeros(size, np.uint64)
         for j in range(1, int(levels.max()) + 1):
-            part = h[levels >= j]
-            for bit in probes(part, j, np.full(len(part), size)):
-                bits[bit(np.arange(len(part)))] = 1
-        return pa.table({"shard": pa.array([group["shard"][0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+            word, mask = probe(h[levels >= j], j, size)
+            np.bitwise_or.at(words, word, mask)
+        return pa.table({"shard": pa.array([group["shard"][0].as_py()], pa.int32()), "words": pa.array([words.astype("<u8").tobytes()], pa.binary())})
 
     sent = train.select("text").mapInArrow(count, "shard int, h binary, n binary")
-    made = sent.groupBy("shard").applyInArrow(build, "shard int, bits binary")
+    made = sent.groupBy("shard").applyInArrow(build, "shard int, words binary")
     blocks = [b"\0" * 8] * shards
     for row in written(made, "filter").toLocalIterator():
-        blocks[row.shard] = bytes(row.bits)
-    size = np.array([8 * len(b) for b in blocks], np.int64)
-    return Filter(np.frombuffer(b"".join(blocks), np.uint8), np.cumsum(size) - size, size)
+        blocks[row.shard] = bytes(row.words)
+    size = np.array([len(b) // 8 for b in blocks], np.int64)
+    return Filter(np.frombuffer(b"".join(blocks), "<u8"), np.cumsum(size) - size, size)
 
 
 def scores(docs: DataFrame, ngrams, common, n_tokens: int, n_words: int) -> DataFrame:
@@ -218,9 +210,9 @@ def scores(docs: DataFrame, ngrams, common, n_tokens: int, n_words: int) -> Data
         for rows, buf, offs in texts(batches, 4):
             t, n = tokens(buf, offs)
             doc = np.repeat(np.arange(len(n)), n)
-            c = found(t, words, counts)
-            base = np.where(c > 0, np.log10((c + 0.1) / whole), 0.0)
             single, at = np.unique(t, return_inverse=True)
+            c = found(single, words, counts)[at]
+            base = np.where(c > 0, np.log10((c + 0.1) / whole), 0.0)
             q = value[f.level(single & LOW48)]
             before = pairs(t, n)
             start = value[f.level(np.array([START & LOW48]))][0]
@@ -253,12 +245,12 @@ def rare_words(docs: DataFrame, common) -> DataFrame:
         for rows, buf, offs in texts(batches, 2):
             t, n = tokens(buf, offs)
             doc = np.repeat(np.arange(len(n)), n)
-            rare = found(t, words, counts) == 0
-            t, doc = t[rare], doc[rare]
             order = np.lexsort((t, doc))
             t, doc = t[order], doc[order]
             new = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (doc[1:] != doc[:-1])]) if len(t) else np.zeros(0, np.int64)
             many = np.diff(np.r_[new, len(t)])
+            rare = found(t[new], words, counts) == 0
+            new, many = new[rare], many[rare]
             d, k = (np.asarray(rows.column(i))[doc[new]] for i in range(2))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (d, k, t[new].view(np.int64), many)], names=["d", "k", "h", "n"])
 
