@@ -7,10 +7,12 @@ reaches the threshold is below MISS; the survivors' whole shingle sets are compa
 
 A bucket of a band is never spread into all its pairs. Its members are compared with the bucket's hub, the
 member that shares the most buckets with others; links make components, and pairs within one component
-need no comparison any more. Buckets that still hold several components have a hub of another component
-compared next, and in the end every pair that differs in component is compared, unless its shingle sets
-cannot overlap enough: shingles that only one of these documents has match nothing, so sets of n1 and n2
-shingles with u1 and u2 such ones share at most min(n1 - u1, n2 - u2). No link is lost by that.
+need no comparison any more. What is left are pairs of a bucket whose components differ. Documents that have
+too few shingles in common with all the others of these together drop out. The rest are compared by
+tiles: two blocks of at most about BLOCK documents of one group, whose overlaps are a matrix product of their
+shingle sets, and of whose links a tile returns only as many as join its components. Groups are what
+shared buckets connect, or the single buckets where that would be more than GROUP documents. So no link
+between components is lost, and the rows made grow with the documents, not with pairs.
 
 With BANDS bands of ROWS rows a pair at the threshold shares no bucket with probability below 1e-6.
 
@@ -36,8 +38,8 @@ from keyfold.llm.components import components
 BANDS, ROWS = 24, 5
 #: Signature values compared at a time, and the posterior below which a pair is given up.
 BATCH, MISS = 24, 1e-6
-#: Rounds of hubs after the first; they end when no more pairs than FEW for each document are left to compare.
-ROUNDS, FEW = 2, 4
+#: Documents of a tile's block, and of a group that is compared as a whole.
+BLOCK, GROUP = 1000, 20_000
 
 _rng = np.random.default_rng(20240311)
 _A = (_rng.integers(0, 1 << 31, BANDS * ROWS) * 2 + 1).astype(np.uint32)
@@ -185,6 +187,70 @@ def shared_shingles(texts: DataFrame, rows: DataFrame, nodes: DataFrame, size: i
     return nodes.join(some.select("node").distinct(), "node", "left_semi").join(alone, "node", "left").select("node", "n_shingles", (F.col("n_shingles") - F.coalesce("u", F.lit(0))).alias("most"))
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Indexes of the pairs (a, b) that join what wasn't joined by those before."""
+    top: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := top.setdefault(x, x)) != x:
+            top[x] = x = top[y]
+        return x
+
+    out = []
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        if (x := find(x)) != (y := find(y)):
+            top[max(x, y)] = min(x, y)
+            out.append(i)
+    return out
+
+
+def tiled_links(rows: DataFrame, texts: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): links between components c among rows (band, node, c), enough to join all that are linked."""
+    able = shared_shingles(texts, rows, nodes, size).where((100 + percent) * F.col("most") >= percent * (F.col("n_shingles") + F.ceil(F.col("n_shingles") * percent / 100))).select("node")
+    rest = written(rows.join(able, "node", "left_semi"), "open")
+    hubs = rest.groupBy("band").agg(F.min("node").alias("hub"))
+    groups = components(rest.join(hubs, "band").select("node", "hub"), "node", "hub").select("node", F.col("component").alias("g"))
+    many = groups.groupBy("g").agg(F.count("*").alias("n"))
+    placed = written(groups.join(many, "g"), "groups")
+    whole = rest.select("node", "c").distinct().join(placed.where(F.col("n") <= GROUP), "node").select(F.lit(0).alias("kind"), "g", "node", "c", "n")
+    large = rest.join(placed.where(F.col("n") > GROUP).select("node"), "node", "left_semi")
+    single = large.join(large.groupBy("band").agg(F.count("*").alias("n")), "band").select(F.lit(1).alias("kind"), F.col("band").alias("g"), "node", "c", "n")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    tiles = whole.unionByName(single).withColumn("i", mine).withColumn("j", F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1)))
+    tiles = tiles.select("kind", "g", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), F.col("i").alias("own"), "node", "c")
+
+    def run(tile: pa.Table) -> pa.Table:
+        x, y = tile["x"][0].as_py(), tile["y"][0].as_py()
+        own, node, c = (np.asarray(tile[n].combine_chunks()) for n in ("own", "node", "c"))
+        buf, offs = K.text_buffer(tile["text"].combine_chunks())
+        parts = [(g, d + first) for first, end in K.pieces(offs) for g, d in [shingles(buf[offs[first] : offs[end]], offs[first : end + 1] - offs[first], size)]]
+        g, d = (np.concatenate(p) for p in zip(*parts, strict=True))
+        n = np.bincount(d, minlength=len(own))
+        _, at, times = np.unique(g, return_inverse=True, return_counts=True)
+        d, at = d[times[at] > 1], at[times[at] > 1]
+        column = np.cumsum(times > 1) - 1
+        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+        shared = np.zeros((len(left), len(right)), np.float32)
+        at = column[at]
+        order = np.argsort(at, kind="stable")
+        d, at = d[order], at[order]
+        for first in range(0, int(at[-1]) + 1 if len(at) else 0, 2048):
+            lo, hi = np.searchsorted(at, [first, first + 2048])
+            sets = np.zeros((len(own), 2048), np.float32)
+            sets[d[lo:hi], at[lo:hi] - first] = 1
+            shared += sets[left] @ sets[right].T
+        either = n[left][:, None] + n[right][None, :] - shared
+        p, q = np.nonzero((100 * shared >= percent * either) & (c[left][:, None] != c[right][None, :]))
+        p, q = left[p], right[q]
+        _, once = np.unique(np.stack([np.minimum(c[p], c[q]), np.maximum(c[p], c[q])]), axis=1, return_index=True)
+        p, q = p[once], q[once]
+        keep = forest(c[p], c[q])
+        return pa.table({"a": pa.array(node[p[keep]]), "b": pa.array(node[q[keep]])})
+
+    return tiles.join(texts.select("node", "text"), "node").groupBy("kind", "g", "x", "y").applyInArrow(run, "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs.
 
@@ -211,37 +277,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
     hubs = members_of.groupBy("band").agg(F.max_by("node", F.struct(F.col("degree"), -F.col("node"))).alias("hub"))
     pairs = members_of.join(hubs, "band").where(F.col("node") != F.col("hub")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
-    links, tested, last = None, None, False
+    new = written(pairs, "pairs")
+    links = written(confirmed(surviving(new, nodes, percent), candidates, size, percent).where("linked").select("a", "b"), "links")
+    joined = written(components(links), "components")
+    held = members_of.join(joined, "node", "left").select("band", "node", F.coalesce("component", "node").alias("c"))
+    mixed = held.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).where((F.col("c0") != F.col("c1")) & (F.col("n") > 2))
+    still = written(held.join(mixed.select("band"), "band"), "open")
+    forget(new, joined, members_of, degrees)
+    if not still.isEmpty():
+        links = links.unionByName(written(tiled_links(still, candidates, nodes, size, percent), "links"))
     own = members.where(F.col("doc_id") != F.col("node")).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    for k in range(ROUNDS + 2):
-        new = written(pairs, "pairs")
-        verdict = written(confirmed(surviving(new, nodes, percent), candidates, size, percent), "verdict")
-        tested = new if tested is None else tested.unionByName(new)
-        linked = verdict.where("linked").select("a", "b")
-        links = linked if links is None else links.unionByName(linked)
-        if last:
-            break
-        joined = written(components(links), "components")
-        held = members_of.join(joined, "node", "left").select("band", "node", "degree", F.coalesce("component", "node").alias("c"))
-        hub = F.max_by(F.struct("node", "c"), F.struct(F.xxhash64("c", F.lit(k)), F.col("degree"))).alias("hub")
-        mixed = held.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n"), hub).where((F.col("c0") != F.col("c1")) & (F.col("n") > 2))
-        still = written(held.join(mixed.select("band", "hub"), "band"), "open")
-        forget(joined)
-        matching = shared_shingles(candidates, still, nodes, size).where(100 * F.col("most") >= percent * F.col("n_shingles"))
-        rest = written(still.join(matching, "node"), "open")
-        per = rest.groupBy("band", "c").agg(F.count("*").cast("double").alias("m"))
-        load = per.groupBy("band").agg(((F.sum("m") ** 2 - F.sum(F.col("m") ** 2)) / 2).alias("pairs")).agg(F.sum("pairs")).first()[0]
-        if not load:
-            break
-        last = k == ROUNDS or load <= FEW * nodes.count()
-        if last:
-            side = lambda x: rest.select("band", F.col("node").alias(x), F.col("c").alias(f"c_{x}"), F.col("n_shingles").alias(f"n_{x}"), F.col("most").alias(f"m_{x}"))
-            most = F.least("m_a", "m_b")
-            able = (100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))
-            pairs = side("a").join(side("b"), "band").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & able).select("a", "b")
-        else:
-            pairs = rest.where(F.col("c") != F.col("hub.c")).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
-        pairs = pairs.distinct().join(tested, ["a", "b"], "left_anti")
 
     # rows of one doc_id are one node: their classes are linked through it
     whole = written(components(links.unionByName(own)), "components")
