@@ -233,7 +233,7 @@ class Vocabulary:
         if len(known) > REMEMBERED:
             known.clear()
         known.update((t, np.array([t], "<i4").tobytes()) for t in self.special.values())
-        new = list(set().union(*cut) - known.keys())
+        new = [w for w in set().union(*cut) if w not in known]
         known.update(zip(new, (array("i", ids).tobytes() for ids in self.encode_words([w.encode() for w in new])), strict=True))
         parts = [b"".join(map(known.__getitem__, ws)) for ws in cut]
         for w in new:

@@ -36,7 +36,7 @@ BLOCK = 4096
 #: Ids of a shard: it is closed by the document that reaches this number.
 SHARD = 1 << 20
 #: Words whose ids a worker remembers.
-REMEMBERED = 800_000
+REMEMBERED = 1_200_000
 #: Punctuation that may end a word; none of it composes with a letter before or starts a contraction.
 TAIL = b".,;:!?#$%&*|"
 SHARDS = "part int, shard int, n_ids bigint, doc_ids array<bigint>, counts array<bigint>, image binary"
@@ -107,22 +107,41 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.bits = width(self.tokenizer.get_vocab_size(with_added_tokens=True))
+        self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and t.content.startswith("<|") and not (t.lstrip or t.rstrip or t.single_word)]
         self.between, self.between_id = special[-1] if special else (None, -1)
+        self.last = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        self.last[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
 
     def together(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word. Many words are one text with a special token between them, which the library
-        cuts out before anything else; words that could hold a special token's string go alone."""
-        out: list[bytes] = []
-        for i in range(0, len(words), 64):
-            part = [w.decode() for w in words[i : i + 64]]
-            flat = np.array(self.tokenizer.encode(self.between.join(part), add_special_tokens=False).ids, "<u4")
+        """The ids of each word, many words in one text. A word of letters alone is one piece, whose last token
+        is marked as one that ends a piece; so such words stand between spaces. The others stand between special
+        tokens, which the library cuts out before anything else."""
+        texts = [w.decode() for w in words]
+        plain = [i for i, t in enumerate(texts) if t.isalpha()]
+        out: list[bytes | None] = [None] * len(words)
+        for k in range(0, len(plain), 256 * 32):
+            many = [plain[j : j + 256] for j in range(k, min(k + 256 * 32, len(plain)), 256)]
+            found = self.batch([" ".join([texts[i] for i in part]) for part in many], add_special_tokens=False)
+            for part, e in zip(many, found, strict=True):
+                flat = np.array(e.ids, "<u4")
+                stops = np.flatnonzero(self.last[flat]) + 1
+                if len(stops) == len(part) and stops[-1] == len(flat):
+                    raw, at = flat.tobytes(), 0
+                    for i, stop in zip(part, (4 * stops).tolist(), strict=True):
+                        out[i] = raw[at:stop]
+                        at = stop
+        rest = [i for i, x in enumerate(out) if x is None]
+        for k in range(0, len(rest), 64):
+            part = rest[k : k + 64]
+            flat = np.array(self.tokenizer.encode(self.between.join([texts[i] for i in part]), add_special_tokens=False).ids, "<u4")
             cuts = np.flatnonzero(flat == self.between_id)
             if len(cuts) != len(part) - 1:
                 raise ValueError("a word holds the separating token")
             raw, ends = flat.tobytes(), [*(4 * cuts).tolist(), 4 * len(flat)]
-            out += [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends[:-1])], ends, strict=True)]
+            for i, a, b in zip(part, [0, *(e + 4 for e in ends[:-1])], ends, strict=True):
+                out[i] = raw[a:b]
         return out
 
     def alone(self, word: bytes) -> bytes:
@@ -138,23 +157,31 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian u32."""
-        known, cut = self.known, [t.split() for t in texts]
+        known = self.known
+        # case is folded at once where no special token's string can be in the text
+        cut = [(t if b"<|" in t or self.between is None else t.lower()).split() for t in texts]
         if len(known) > REMEMBERED:
             known.clear()
-        new = list(set().union(*cut) - known.keys())
+        new = [w for w in set().union(*cut) if w not in known]
         if self.between is None:
             odd, plain = new, []
         else:
             odd, plain = [w for w in new if b"<|" in w], [w for w in new if b"<|" not in w]
-        halves = [self.cut(w) for w in plain]
-        need = list({h for pair in halves for h in pair if h} - known.keys())
+        halves = {}
+        alone = []
+        for w in plain:
+            a, b = self.cut(w)
+            if b or a != w:
+                halves[w] = a, b
+            else:
+                alone.append(w)
+        need = [h for h in {*alone, *(h for pair in halves.values() for h in pair if h)} if h not in known]
         known.update(zip(need, self.together(need), strict=True))
-        known.update((w, known[a] + known[b] if b else known[a]) for w, (a, b) in zip(plain, halves, strict=True))
-        known.update((w, self.alone(w)) for w in odd)
+        known.update([(w, known[a] + known[b] if b else known[a]) for w, (a, b) in halves.items()])
+        known.update([(w, self.alone(w)) for w in odd])
         out = [b"".join(map(known.__getitem__, ws)) for ws in cut]
-        for w in {*new, *need}:
-            if len(w) > 64:
-                del known[w]
+        for w in {w for words in (new, need) for w in words if len(w) > 64}:
+            del known[w]
         return out
 
 
