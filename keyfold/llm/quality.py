@@ -1,7 +1,7 @@
 """Operator 5: a quality classifier with hierarchical empirical Bayes over hosts and paths.
 
-A document classifier (logistic regression over which words and word endings a text has) gives each
-document's own evidence. Its posteriors are summed up by host and by path within host; a path's mean is
+A document classifier (sparse logistic regression over the words, word parts and measures a text has) gives
+each document's own evidence. Its posteriors are summed up by host and by path within host; a path's mean is
 shrunk toward its host's and a host's toward the global mean, by prior strengths estimated from the
 spread of the site means themselves (method of moments). A document's score is its own log odds plus what
 its path adds to the global log odds, with the document left out of its site's sums.
@@ -26,17 +26,29 @@ from pyspark.sql import functions as F
 from keyfold.llm.common import only, table, written
 
 #: Labelled documents the classifier is fitted on, at most about; hashed features; regularisation.
-SAMPLE, FEATURES, REG = 20_000, 1 << 17, 2e-3
+SAMPLE, FEATURES, REG = 20_000, 1 << 17, 1e-4
 SPACES = r"[\x20\x09-\x0D]+"
 #: Weight of the site's evidence against the document's own, and bounds of a prior's strength in documents.
 SITE_WEIGHT, WEAKEST, STRONGEST = 0.5, 5.0, 1e4
 
 
 def tokens(text: Column) -> Column:
-    """The distinct words of a text in lower case, and the last two characters of each word (marked)."""
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda x: x != "")
-    ends = F.transform(words, lambda x: F.concat(F.lit("\t"), F.right(x, F.lit(2))))
-    return F.array_distinct(F.concat(F.transform(words, lambda x: F.lower(x)), ends))
+    """What a text has, each once: its words in lower case without punctuation, the first six letters of each
+    (marked), the last two characters of each word as it stands (marked), and its measures in tenths: distinct
+    words, capitals, characters that are neither letter nor digit, word length, and its size in doublings."""
+    t = F.coalesce(text, F.lit(""))
+    words = lambda c: F.filter(F.split(c, SPACES), lambda x: x != "")
+    plain, raw = words(F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}\s]+", " ")), words(t)
+    n, chars = F.greatest(F.size(raw), F.lit(1)), F.greatest(F.length(t), F.lit(1))
+    tenth = lambda name, x: F.concat(F.lit(f"\t\t{name} "), F.floor(10 * x).cast("string"))
+    without = lambda pattern: F.length(F.regexp_replace(t, pattern, "")) / chars
+    measures = F.array(
+        tenth("distinct", F.size(F.array_distinct(plain)) / n), tenth("capital", without(r"[^\p{Lu}]")), tenth("mark", without(r"[\p{L}\p{N}\s]")),
+        tenth("length", chars / n / 20), F.concat(F.lit("\t\tsize "), F.floor(F.log2(n)).cast("string")),
+    )
+    starts = F.transform(plain, lambda x: F.concat(F.lit("\v"), F.left(x, F.lit(6))))
+    ends = F.transform(raw, lambda x: F.concat(F.lit("\t"), F.right(x, F.lit(2))))
+    return F.array_distinct(F.concat(plain, starts, ends, measures))
 
 
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -60,7 +72,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LogisticReg
     train = written(features(only(docs, doc_id="bigint", text="string").join(F.broadcast(few), "doc_id")).select("label", "_features"), "train")
     if train.select("label").distinct().count() < 2:
         return None
-    return LogisticRegression(featuresCol="_features", labelCol="label", regParam=REG, maxIter=40, standardization=False, aggregationDepth=2).fit(train)
+    return LogisticRegression(featuresCol="_features", labelCol="label", regParam=REG, elasticNetParam=1.0, maxIter=80, standardization=False, aggregationDepth=2).fit(train)
 
 
 def evidence(docs: DataFrame, model: LogisticRegressionModel | None, text: str = "text") -> DataFrame:
