@@ -29,7 +29,7 @@ from keyfold.llm.common import bounded_batches, only, table
 #: How the ByteLevel pre-tokenizer of this kind of vocabulary cuts a text.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Words whose ids a worker remembers, and the longest of them. More words only cost time.
-REMEMBERED, REMEMBERED_CHARS = 250_000, 64
+REMEMBERED, REMEMBERED_CHARS = 150_000, 64
 NEVER = np.int64(1) << 40
 
 
@@ -274,11 +274,13 @@ def encode(docs: DataFrame, vocabulary_path: str, text: str = "text", ids: str =
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(vocabulary_path)
+        v.words.clear()  # a worker is used again by other tasks; what it remembers is for one task
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
             for first, end in K.pieces(K.text_buffer(column)[1]):
                 flat, counts = v.encode([t or "" for t in column.slice(first, end - first).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*batch.slice(first, end - first).columns, K.list_array(flat, counts, pa.int32())], names=[*batch.schema.names, ids])
+        v.words.clear()
 
     return docs.mapInArrow(run, schema)
 

@@ -20,7 +20,7 @@ _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint6
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 #: Bytes of text that are worked on at a time; a longer document is a piece of its own.
-PIECE = 1 << 21
+PIECE = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
