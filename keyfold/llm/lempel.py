@@ -89,3 +89,15 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), 35)
     words = F.filter(F.split(F.coalesce("text", F.lit("")), SPACES), lambda x: x != "")
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.array_join(words, " ").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE = {
+    "op10_substring_dedup": r"""
+        WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        g AS (SELECT doc_id, i, array_to_string(w[i : i + 34], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM t)),
+        twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY md5(g)) AS n FROM g) WHERE n > 1),
+        gone AS (SELECT DISTINCT doc_id, i + k AS i FROM twice, (SELECT unnest(range(0, 35)) AS k)),
+        word AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM t),
+        kept AS (SELECT word.doc_id, string_agg(word, ' ' ORDER BY word.i) AS k, count(*) AS n FROM word ANTI JOIN gone ON gone.doc_id = word.doc_id AND gone.i = word.i GROUP BY word.doc_id)
+        SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM t LEFT JOIN kept ON kept.doc_id = t.doc_id"""
+}

@@ -28,4 +28,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**near.ORACLE, **vafile.ORACLE, **rules.ORACLE}
+    return {**near.ORACLE, **vafile.ORACLE, **rules.ORACLE, **suffix.ORACLE, **lempel.ORACLE}

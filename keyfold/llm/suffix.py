@@ -77,3 +77,19 @@ def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", t
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"), 100)
     return out.select("doc_id", "n_bytes", "n_removed", F.size("starts").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = {
+    "op9_suffix_dedup": """
+        WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS g FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS i FROM t)),
+        later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS n FROM w) WHERE n > 1),
+        turn AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM later),
+        run AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM turn) GROUP BY doc_id, r),
+        gap AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM run
+                UNION ALL SELECT t.doc_id, coalesce(max(run.b), 0), any_value(length(h) // 2) FROM t LEFT JOIN run ON run.doc_id = t.doc_id GROUP BY t.doc_id),
+        kept AS (SELECT gap.doc_id, string_agg(substr(t.h, CAST(2 * a + 1 AS BIGINT), CAST(2 * (b - a) AS BIGINT)), '' ORDER BY a) AS k FROM gap JOIN t ON t.doc_id = gap.doc_id GROUP BY gap.doc_id),
+        sums AS (SELECT doc_id, sum(b - a) AS n, count(*) AS s FROM run GROUP BY doc_id)
+        SELECT t.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(s, 0) AS BIGINT) AS n_spans, sha256(unhex(k)) AS kept_sha256
+        FROM t JOIN kept ON kept.doc_id = t.doc_id LEFT JOIN sums ON sums.doc_id = t.doc_id"""
+}
