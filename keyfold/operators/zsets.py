@@ -35,10 +35,27 @@ def zcard(z: DataFrame) -> DataFrame:
 
 
 def ranked(z: DataFrame) -> DataFrame:
-    """z with rank from 0. A key's members are sorted in one task; for ranks of some members of a huge set see zrank()."""
+    """z with rank from 0. A key's members are sorted in one task; for huge sets see
+    ranked_wide(), for the ranks of some members zrank()."""
     return z.withColumn("rank", (F.row_number().over(W.partitionBy("key").orderBy("score", "member")) - 1).cast("bigint"))
 
 
+def ranked_wide(z: DataFrame, parts: int = 256) -> DataFrame:
+    """The same as ranked(), for sets of which one may hold much of all rows: each set is cut into parts by
+    score, evenly between its least and greatest one, and a rank is the place within the part behind the
+    sizes of the parts before. Only parts are sorted, and only the parts' sizes, pre-aggregated, meet by key.
+    """
+    spans = z.groupBy("key").agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
+    wide = F.greatest((F.col("_hi") - F.col("_lo")) / parts, F.lit(1e-300))
+    cut = F.least(F.floor((F.col("score") - F.col("_lo")) / wide), F.lit(parts - 1))
+    placed = z.join(spans, "key").withColumn("_part", cut).drop("_lo", "_hi")
+    before = W.partitionBy("key").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    sizes = placed.groupBy("key", "_part").agg(F.count("*").alias("_n"))
+    offsets = sizes.select("key", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(W.partitionBy("key", "_part").orderBy("score", "member")) - 1
+    return placed.withColumn("_at", place).join(offsets, ["key", "_part"]).withColumn("rank", F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+
+
 def zrank(z: DataFrame, probes: DataFrame) -> DataFrame:
     """(key, member, rank) of the probes that are members, by counting what stands before each: members are
     never sorted, and counts are formed before the shuffle, so the size of a set doesn't matter. Every

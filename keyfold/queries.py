@@ -185,6 +185,11 @@ def zrank(spark: SparkSession, d: str) -> DataFrame:
     return Z.ranked(T.customer_scores(spark, d))
 
 
+@query(f"SELECT 'all' AS key, member, score, row_number() OVER (ORDER BY score, member) - 1 AS rank FROM {SCORES}")
+def zrank_wide(spark: SparkSession, d: str) -> DataFrame:
+    return Z.ranked_wide(T.customer_scores(spark, d).withColumn("key", F.lit("all")))
+
+
 @query(f"SELECT key, member, rank FROM {RANKED} WHERE member LIKE '%00'")
 def zrank_of_members(spark: SparkSession, d: str) -> DataFrame:
     z = T.customer_scores(spark, d)
