@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyfold.llm import kernels as K
-from keyfold.llm.common import bounded_batches, forget, only, table, written
+from keyfold.llm.common import bounded_batches, forget, table, written
 from keyfold.llm.components import components
 
 BANDS, ROWS = 24, 5
@@ -171,7 +171,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
 def shared_shingles(texts: DataFrame, rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """(node, n_shingles, most) of the nodes in rows: most is the number of their shingles that another one of
-    them has as well."""
+    them has as well (all, for a node of several texts)."""
     some = texts.join(rows.select("node").distinct(), "node", "left_semi").select("node", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +184,9 @@ def shared_shingles(texts: DataFrame, rows: DataFrame, nodes: DataFrame, size: i
 
     single = some.mapInArrow(run, "node bigint, g bigint").groupBy("g").agg(F.min("node").alias("node"), F.max("node").alias("other")).where(F.col("node") == F.col("other"))
     alone = single.groupBy("node").agg(F.count("*").alias("u"))
-    return nodes.join(some.select("node").distinct(), "node", "left_semi").join(alone, "node", "left").select("node", "n_shingles", (F.col("n_shingles") - F.coalesce("u", F.lit(0))).alias("most"))
+    sizes = nodes.join(some.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.max("n_shingles").alias("n_shingles"), F.count("*").alias("texts"))
+    u = F.when(F.col("texts") == 1, F.coalesce("u", F.lit(0))).otherwise(0)
+    return sizes.join(alone, "node", "left").select("node", "n_shingles", (F.col("n_shingles") - u).alias("most"))
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> list[int]:

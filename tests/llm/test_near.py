@@ -50,8 +50,12 @@ def test_empty_table(nothing):
     assert found(nothing) == []
 
 
-def test_edited_copies_of_one_text(spark):
-    """Links through the original only, chains, and copies just below the threshold."""
+@pytest.mark.parametrize("block,group", [(1000, 20_000), (7, 20_000), (7, 1)])
+def test_edited_copies_of_one_text(spark, monkeypatch, block, group):
+    """Links through the original only, chains, and copies just below the threshold; one tile, many tiles, and
+    tiles of single buckets."""
+    monkeypatch.setattr(near, "BLOCK", block)
+    monkeypatch.setattr(near, "GROUP", group)
     r = random.Random(3)
     base = prose(11, 220).split()
     rows = []
