@@ -43,7 +43,7 @@ def tokens(text: Column) -> Column:
     tenth = lambda name, x: F.concat(F.lit(f"\t\t{name} "), F.floor(10 * x).cast("string"))
     without = lambda pattern: F.length(F.regexp_replace(t, pattern, "")) / chars
     measures = F.array(
-        tenth("distinct", F.size(F.array_distinct(plain)) / n), tenth("capital", without(r"[^\p{Lu}]")), tenth("mark", without(r"[\p{L}\p{N}\s]")),
+        tenth("distinct", F.size(F.array_distinct(plain)) / n), tenth("capital", without(r"[^\p{Lu}]+")), tenth("mark", without(r"[\p{L}\p{N}\s]+")),
         tenth("length", chars / n / 20), F.concat(F.lit("\t\tsize "), F.floor(F.log2(n)).cast("string")),
     )
     starts = F.transform(plain, lambda x: F.concat(F.lit("\v"), F.left(x, F.lit(6))))
