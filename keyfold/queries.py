@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyfold.functions.reduce import seconds
+from keyfold.functions import render as R
+from keyfold.functions.reduce import seconds, six_places
 from keyfold.operators import hashes as H
 from keyfold.operators import keyspace as K
 from keyfold.operators import lists as L
@@ -347,6 +348,28 @@ def hentries(spark: SparkSession, d: str) -> DataFrame:
     return H.hentries(T.nation_hash(spark, d))
 
 
+@query(f"SELECT key, '[' || string_agg(value, ',' ORDER BY i) || ']' AS text FROM {LISTS} GROUP BY key")
+def render_lists(spark: SparkSession, d: str) -> DataFrame:
+    return R.lists(_lists(spark, d))
+
+
+@query("SELECT 'segment:' || c_mktsegment AS key, '(' || string_agg(DISTINCT CAST(c_nationkey AS VARCHAR), ',' ORDER BY CAST(c_nationkey AS VARCHAR)) || ')' AS text FROM customer GROUP BY c_mktsegment")
+def render_sets(spark: SparkSession, d: str) -> DataFrame:
+    c = T.table(spark, d, "customer").select(F.concat(F.lit("segment:"), "c_mktsegment").alias("key"), F.col("c_nationkey").cast("string").alias("member"))
+    return R.sets(S.smembers(c))
+
+
+@query(f"SELECT key, '{{' || string_agg(field || ': ' || value, ', ' ORDER BY field) || '}}' AS text FROM {FIELDS} GROUP BY key")
+def render_hashes(spark: SparkSession, d: str) -> DataFrame:
+    return R.hashes(T.nation_hash(spark, d))
+
+
+@query(f"SELECT key, 'zset(' || string_agg(member || '=' || printf('%.6f', score), ', ' ORDER BY score, member) || ')' AS text FROM {RANKED} WHERE rank < 3 GROUP BY key")
+def render_zsets(spark: SparkSession, d: str) -> DataFrame:
+    top = Z.zrange_by_rank(T.customer_scores(spark, d), 0, 2)
+    return R.zsets(top.withColumn("score_text", six_places(F.col("score"))))
+
+
 def _layers(spark: SparkSession, d: str) -> DataFrame:
     """The events as six layers of level 0 and one of level 1, by time."""
     log = _plain(T.events_log(spark, d))
