@@ -9,9 +9,11 @@ found without ever bringing all windows together:
 * Equal windows have equal anchors. Where all contexts of an anchor are equal, the windows need no look.
 * Only where they differ (at the ends of repeats and around edits) the contexts themselves are shuffled,
   and their windows are compared there.
-* Anchors that a sample of documents shows to be in very many places go another way, window by window
-  with grouped aggregation, so that no task gets a whole hot anchor. The sample decides on the way only;
-  the results are the same. At most HOT_KEYS anchors are broadcast as hot.
+* Anchors that a sample of documents shows to be in very many places go another way, by grouped aggregation
+  alone, so that no task gets a whole hot anchor: the windows around it are taken in CORES parts by their
+  distance from it, all windows of a part hold its core, and only where a core stands in several places
+  the single windows are counted. The sample decides on the way only; the results are the same. At most
+  HOT_KEYS anchors are broadcast as hot.
 * Equal contexts within a piece of input are reduced to the first before anything is shuffled.
 
 Documents are told apart and ordered by (doc_id, hash of the text): rows equal in both are one document,
@@ -37,6 +39,8 @@ SAMPLE, HOT, HOT_KEYS = 64, 32, 100_000
 #: Rows that a reducing task looks at together, but for anchors that have more.
 ROWS = 200_000
 FIRST_ID = -(1 << 63)
+#: Parts of the windows around a hot anchor.
+CORES = 4
 #: Bytes of a shipped window hash.
 HASH = 6
 
@@ -66,9 +70,10 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def anchors(values: np.ndarray, offs: np.ndarray, unit: Unit) -> tuple[np.ndarray, ...]:
-    """(document, anchor, context, first, last) of all contexts: the hashes, and the first and last window start."""
+    """(document, anchor, context, first, last, place) of all contexts: the hashes, the first and last window start,
+    and where the anchor stands."""
     n, span, w = len(values), unit.length, unit.length - unit.gram + 1
-    none = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    none = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3)
     if n < span:
         return none
     sums, inverse = K.prefix(values), K.powers(n + 1)[1]
@@ -94,7 +99,7 @@ def anchors(values: np.ndarray, offs: np.ndarray, unit: Unit) -> tuple[np.ndarra
     at = (least[starts] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     first, last, at = starts[new], starts[np.r_[new[1:], len(starts)] - 1], at[new]
-    return np.searchsorted(offs, first, side="right") - 1, K.mix(g[at]), K.spans_hash(sums, first, last + span), first, last
+    return np.searchsorted(offs, first, side="right") - 1, K.mix(g[at]), K.spans_hash(sums, first, last + span), first, last, at
 
 
 def documents(batch: pa.RecordBatch, text: int = 2) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -109,7 +114,7 @@ class Reduced:
 
     def __init__(self, d: np.ndarray, k: np.ndarray, buf: np.ndarray, offs: np.ndarray, unit: Unit):
         self.values, self.offs = unit.symbols(buf, offs)
-        doc, self.h, self.c, first, last = anchors(self.values, self.offs, unit)
+        doc, self.h, self.c, first, last, self.place = anchors(self.values, self.offs, unit)
         self.first, self.last = first, last
         self.d, self.k, self.a, self.b = d[doc], k[doc], first - self.offs[doc], last - self.offs[doc]
         order = np.lexsort((self.a, self.k, self.d, self.c, self.h))
@@ -168,24 +173,34 @@ def is_hot(h: np.ndarray, hot: np.ndarray) -> np.ndarray:
 
 
 def known_at_once(docs: DataFrame, unit: Unit, hot) -> DataFrame:
-    """(kind, d, k, ab, wh): kind 1 are spans that equal contexts of a piece make known, kind 2 the windows of hot anchors."""
+    """(kind, d, k, ab, core, windows): kind 1 are spans that equal contexts of a piece make known, kind 2 the parts
+    of the windows around hot anchors, with their core's hash and their own."""
+    names = ["kind", "d", "k", "ab", "core", "windows"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d, k = (np.asarray(batch.column(i)) for i in range(2))
             for first, end, buf, offs in documents(batch):
                 r = Reduced(d[first:end], k[first:end], buf, offs, unit)
-                i = r.known
-                yield record("kind d k ab wh", np.ones(len(i), np.int64), r.d[i], r.k[i], packed(r.a[i], r.b[i]), np.zeros(len(i), np.int64))
+                i, none = r.known, np.zeros(len(r.known), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (none + 1, r.d[i], r.k[i], packed(r.a[i], r.b[i]), none)] + [K.list_array(none[:0], none, pa.int64())], names=names)
                 i = r.leads[is_hot(r.h[r.leads], hot.value)]
-                n = r.b[i] - r.a[i] + 1
-                if len(i):
-                    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    a, at = np.repeat(r.a[i], n) + inside, np.repeat(r.first[i], n) + inside
-                    wh = K.spans_hash(K.prefix(r.values), at, at + unit.length)
-                    yield record("kind d k ab wh", np.full(len(a), 2), np.repeat(r.d[i], n), np.repeat(r.k[i], n), packed(a, a), wh)
-
-    return docs.mapInArrow(run, "kind bigint, d bigint, k bigint, ab bigint, wh bigint")
+                if not len(i):
+                    continue
+                sums, step = K.prefix(r.values), -(-(unit.length - unit.gram + 1) // CORES)
+                for part in range(CORES):
+                    high, low = r.place[i] - part * step, r.place[i] - (part + 1) * step + 1
+                    lo, hi = np.maximum(low, r.first[i]), np.minimum(high, r.last[i])
+                    some = np.flatnonzero(lo <= hi)
+                    j, lo, hi, n = i[some], lo[some], hi[some], (hi - lo + 1)[some]
+                    core = K.spans_hash(sums, high[some], low[some] + unit.length)
+                    at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    wh = K.spans_hash(sums, at, at + unit.length).view(np.int64)
+                    shift = r.a[j] - r.first[j]
+                    columns = (np.full(len(j), 2), r.d[j], r.k[j], packed(lo + shift, hi + shift), core.view(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns] + [K.list_array(wh, n, pa.int64())], names=names)
+
+    return docs.mapInArrow(run, "kind bigint, d bigint, k bigint, ab bigint, core bigint, windows array<bigint>")
 
 
 def occurrences(docs: DataFrame, unit: Unit, hot) -> DataFrame:
@@ -326,12 +341,20 @@ def compared(ctx: DataFrame, unit: Unit, partitions: int, verdict: Verdict) -> D
     return ctx.repartition(partitions, "h").sortWithinPartitions("h").mapInArrow(run, "d bigint, k bigint, ab bigint")
 
 
-def hot_spans(rows: DataFrame, unit: Unit) -> DataFrame:
-    """(d, k, ab) of the repeated ones among the windows of hot anchors; groups are reduced before the shuffle."""
+def several(rows: DataFrame, by: str) -> DataFrame:
+    """(by, lo) of what stands in several places (d, k, ab), with the first one; reduced before the shuffle."""
     place = F.struct("d", "k", "ab")
-    groups = rows.groupBy("wh").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where(F.col("lo") != F.col("hi")).select("wh", "lo")
-    found = rows.join(groups, "wh")
-    return (found.where(place != F.col("lo")) if unit.keep_first else found).select("d", "k", "ab")
+    return rows.groupBy(by).agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where(F.col("lo") != F.col("hi")).select(by, "lo")
+
+
+def hot_spans(rows: DataFrame, unit: Unit) -> DataFrame:
+    """(d, k, ab) of the repeated ones among the windows of hot anchors."""
+    shared = rows.join(several(rows, "core").select("core"), "core", "left_semi")
+    each = shared.select("d", "k", F.shiftright("ab", 32).alias("a"), F.posexplode("windows").alias("i", "wh"))
+    at = F.col("a") + F.col("i")
+    single = each.select("d", "k", (F.shiftleft(at, 32).bitwiseOR(at)).alias("ab"), "wh")
+    found = single.join(several(single, "wh"), "wh")
+    return (found.where(F.struct("d", "k", "ab") != F.col("lo")) if unit.keep_first else found).select("d", "k", "ab")
 
 
 def repeated_spans(docs: DataFrame, unit: Unit, verdict: Verdict) -> DataFrame:
