@@ -72,7 +72,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LogisticReg
     train = written(features(only(docs, doc_id="bigint", text="string").join(F.broadcast(few), "doc_id")).select("label", "_features"), "train")
     if train.select("label").distinct().count() < 2:
         return None
-    return LogisticRegression(featuresCol="_features", labelCol="label", regParam=REG, elasticNetParam=1.0, maxIter=80, standardization=False, aggregationDepth=2).fit(train)
+    return LogisticRegression(featuresCol="_features", labelCol="label", regParam=REG, elasticNetParam=1.0, maxIter=60, standardization=False, aggregationDepth=2).fit(train)
 
 
 def evidence(docs: DataFrame, model: LogisticRegressionModel | None, text: str = "text") -> DataFrame:
