@@ -23,9 +23,13 @@ ORACLE_SQL = None
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the classifier with its site priors takes for good."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    rows = docs.select(F.struct("*").alias("_row"), *[F.col(c).cast("string").alias(c) for c in ("source", "lang", "text")])
-    slim = written(quality.evidence(rows, model).select("source", "lang", "doc_logit"), "evidence")
-    return quality.classify(rows, model, quality.sites(slim, "source", "lang")).where("kept").select("_row.*")
+    key = [F.col(c).cast("string").alias(c) for c in ("doc_id", "source", "lang")] + [F.xxhash64(F.col("text").cast("string")).alias("_text")]
+    # the evidence is written once; rows equal in these four have equal scores
+    slim = written(quality.evidence(docs.select(*key, F.col("text").cast("string").alias("text")), model).select("doc_id", "source", "lang", "_text", "doc_logit"), "evidence")
+    bad = quality.classify(slim, model, quality.sites(slim, "source", "lang")).where(~F.col("kept"))
+    gone = bad.select(*[F.col(c).alias(f"_gone{i}") for i, c in enumerate(("doc_id", "source", "lang", "_text"))]).distinct()
+    same = [c.eqNullSafe(F.col(f"_gone{i}")) for i, c in enumerate([F.col("doc_id").cast("string"), F.col("source").cast("string"), F.col("lang").cast("string"), F.xxhash64(F.col("text").cast("string"))])]
+    return docs.join(gone, same[0] & same[1] & same[2] & same[3], "left_anti")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
