@@ -7,9 +7,10 @@ read back by probing (n-gram, 1), (n-gram, 2) ... until one is missing: the leve
 and overestimated with the filter's small false-positive rate at each step. A pair's probability is
 smoothed toward its word's: (c(v, w) + PRIOR * p(w)) / (c(v) + PRIOR).
 
-The filter takes BITS bits for each entry, but at most MOST_BYTES in all; beyond that every shard gets
-fewer bits for an entry, no n-gram is left out, and the false-positive rate rises. That is the bound of
-what is broadcast.
+The filter takes BITS bits for each entry whatever the size of the input, so the false-positive rate stays
+as it is. Up to MOST_BYTES it is broadcast. A larger one stays where it was written: each piece of documents
+sends its distinct n-grams to the slices of the filter they fall to, a slice of SLICE shards answers with
+levels, and the levels meet the piece's texts again. Both ways give the same scores.
 
 The base score uses exact counts. They stay distributed: words that make at least 1 in COMMON of all
 tokens (at most COMMON words) are broadcast, a document's other words meet their counts in a join.
@@ -20,7 +21,8 @@ are scored each.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,6 +37,8 @@ BASE, PRIOR = 1.5, 60.0
 BITS, PROBES, MOST_BYTES = 8, 4, 1 << 27
 #: Tokens that make one shard; tokens counted together before they leave a task; frequent words.
 SHARD_TOKENS, TOGETHER, COMMON = 400_000, 2_000_000, 100_000
+#: Shards that answer together when the filter isn't broadcast, and n-grams looked up at a time.
+SLICE, LOOKED_UP = 4, 1 << 20
 START, END = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xEB44ACCAB455D165)
 PAIR = np.uint64(0xD6E8FEB86659FD93)
 LOW48 = np.uint64((1 << 48) - 1)
@@ -149,13 +153,24 @@ def counts_of_levels() -> np.ndarray:
     return np.r_[0.0, np.where(high >= low, (low + np.minimum(high, BASE**j)) / 2, low)]
 
 
-def build_filter(train: DataFrame, n_tokens: int) -> Filter:
-    """Counts words, START and pairs of the training texts by shards and makes each shard's bits.
+def six_bytes(h: np.ndarray) -> np.ndarray:
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+
+
+def of_six_bytes(packed: Iterable[bytes]) -> np.ndarray:
+    six = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, 6)
+    wide = np.zeros((len(six), 8), np.uint8)
+    wide[:, :6] = six
+    return wide.view("<u8").ravel()
+
+
+def filter_shards(train: DataFrame, n_tokens: int) -> tuple[DataFrame, int]:
+    """The written filter (shard, words) and the number of its shards: counts words, START and pairs of the
+    training texts by shards and makes each shard's bits. A shard without n-grams has no row.
 
     A task sends each shard one row of packed counts for every TOGETHER tokens it has read.
     """
     shards = max(16, -(-n_tokens // SHARD_TOKENS))
-    most = max(1, MOST_BYTES // 8 // shards)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -163,7 +178,7 @@ def build_filter(train: DataFrame, n_tokens: int) -> Filter:
         def sent() -> pa.RecordBatch:
             h, n = np.unique(np.concatenate(held), return_counts=True)
             cut = np.searchsorted(shard_of(h, shards), np.arange(shards + 1))
-            six = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+            six = six_bytes(h)
             n = n.astype("<u4")
             full = np.flatnonzero(np.diff(cut))
             return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([six[cut[s] : cut[s + 1]].tobytes() for s in full], pa.binary()), pa.array([n[cut[s] : cut[s + 1]].tobytes() for s in full], pa.binary())], names=["shard", "h", "n"])
@@ -179,12 +194,9 @@ def build_filter(train: DataFrame, n_tokens: int) -> Filter:
             yield sent()
 
     def build(group: pa.Table) -> pa.Table:
-        six = np.frombuffer(b"".join(group["h"].to_pylist()), np.uint8).reshape(-1, 6)
-        wide = np.zeros((len(six), 8), np.uint8)
-        wide[:, :6] = six
-        h, back = np.unique(wide.view("<u8").ravel(), return_inverse=True)
+        h, back = np.unique(of_six_bytes(group["h"].to_pylist()), return_inverse=True)
         levels = level_of(np.maximum(np.bincount(back, np.frombuffer(b"".join(group["n"].to_pylist()), "<u4")), 1))
-        size = int(min(most, 1 + BITS * int(levels.sum()) // 64))
+        size = 1 + BITS * int(levels.sum()) // 64
         words = np.zeros(size, np.uint64)
         for j in range(1, int(levels.max()) + 1):
             word, mask = probe(h[levels >= j], j, size)
@@ -193,40 +205,114 @@ def build_filter(train: DataFrame, n_tokens: int) -> Filter:
 
     sent = train.select("text").mapInArrow(count, "shard int, h binary, n binary")
     made = sent.groupBy("shard").applyInArrow(build, "shard int, words binary")
-    blocks = [b"\0" * 8] * shards
-    for row in written(made, "filter").toLocalIterator():
-        blocks[row.shard] = bytes(row.words)
-    size = np.array([len(b) // 8 for b in blocks], np.int64)
-    return Filter(np.frombuffer(b"".join(blocks), "<u8"), np.cumsum(size) - size, size)
+    return written(made, "filter"), shards
+
+
+def assembled(blocks: dict[int, bytes], shards: int) -> Filter:
+    """The filter of the given shards; a shard that isn't given has one empty word."""
+    empty = b"\0" * 8
+    given = sorted(blocks)
+    first, size = np.zeros(shards, np.int64), np.ones(shards, np.int64)
+    size[given] = [len(blocks[s]) // 8 for s in given]
+    first[given] = 1 + np.cumsum(size[given]) - size[given]
+    return Filter(np.frombuffer(b"".join([empty, *(blocks[s] for s in given)]), "<u8"), first, size)
+
+
+def gathered(made: DataFrame, shards: int) -> Filter:
+    """The whole filter, in the driver."""
+    return assembled({row.shard: bytes(row.words) for row in made.toLocalIterator()}, shards)
+
+
+def build_filter(train: DataFrame, n_tokens: int) -> Filter:
+    return gathered(*filter_shards(train, n_tokens))
+
 
+SCORED = "doc_id bigint, d bigint, k bigint, held_out boolean, n_tokens bigint, known bigint, base double, score double"
 
-def scores(docs: DataFrame, ngrams, common, n_tokens: int, n_words: int) -> DataFrame:
+
+@dataclass
+class Scorer:
+    """Scores pieces of documents, given a function that reads the levels of n-grams."""
+
+    n_tokens: int
+    n_words: int
+
+    def of(self, rows: pa.RecordBatch, buf: np.ndarray, offs: np.ndarray, level: Callable[[np.ndarray], np.ndarray], words: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        whole, value = self.n_tokens + 0.1 * (self.n_words + 1), counts_of_levels()
+        t, n = tokens(buf, offs)
+        doc = np.repeat(np.arange(len(n)), n)
+        single, at = np.unique(t, return_inverse=True)
+        c = found(single, words, counts)[at]
+        base = np.where(c > 0, np.log10((c + 0.1) / whole), 0.0)
+        q = value[level(single & LOW48)]
+        before = pairs(t, n)
+        start = value[level(np.array([START & LOW48]))][0]
+        first = np.cumsum(n) - n
+        qv = np.r_[start, q[at][:-1]]
+        qv[first] = start
+        pair, pair_at = np.unique(pair_hash(before, t) & LOW48, return_inverse=True)
+        both = np.minimum(value[level(pair)][pair_at], np.minimum(qv, q[at]))
+        p = (both + PRIOR * ((q + 0.1) / whole)[at]) / (qv + PRIOR)
+        sums = [np.bincount(doc, x, minlength=len(n)) for x in (base, np.log10(np.minimum(p, 1.0)))]
+        known = np.bincount(doc, c > 0, minlength=len(n)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([*rows.columns[:4], pa.array(n.astype(np.int64)), pa.array(known), *map(pa.array, sums)], names=["doc_id", "d", "k", "held_out", "n_tokens", "known", "base", "score"])
+
+
+def scores(docs: DataFrame, ngrams, common, scorer: Scorer) -> DataFrame:
     """(doc_id, d, k, held_out, n_tokens, known, base, score) of every row; known and base cover common words only."""
-    whole = n_tokens + 0.1 * (n_words + 1)
-    value = counts_of_levels()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f, (words, counts) = ngrams.value, common.value
         for rows, buf, offs in texts(batches, 4):
-            t, n = tokens(buf, offs)
-            doc = np.repeat(np.arange(len(n)), n)
-            single, at = np.unique(t, return_inverse=True)
-            c = found(single, words, counts)[at]
-            base = np.where(c > 0, np.log10((c + 0.1) / whole), 0.0)
-            q = value[f.level(single & LOW48)]
-            before = pairs(t, n)
-            start = value[f.level(np.array([START & LOW48]))][0]
-            first = np.cumsum(n) - n
-            qv = np.r_[start, q[at][:-1]]
-            qv[first] = start
-            pair, pair_at = np.unique(pair_hash(before, t) & LOW48, return_inverse=True)
-            both = np.minimum(value[f.level(pair)][pair_at], np.minimum(qv, q[at]))
-            p = (both + PRIOR * ((q + 0.1) / whole)[at]) / (qv + PRIOR)
-            sums = [np.bincount(doc, x, minlength=len(n)) for x in (base, np.log10(np.minimum(p, 1.0)))]
-            known = np.bincount(doc, c > 0, minlength=len(n)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*rows.columns[:4], pa.array(n.astype(np.int64)), pa.array(known), *map(pa.array, sums)], names=["doc_id", "d", "k", "held_out", "n_tokens", "known", "base", "score"])
-
-    return docs.mapInArrow(run, "doc_id bigint, d bigint, k bigint, held_out boolean, n_tokens bigint, known bigint, base double, score double")
+            yield scorer.of(rows, buf, offs, ngrams.value.level, *common.value)
+
+    return docs.mapInArrow(run, SCORED)
+
+
+def probes_of(t: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The distinct n-grams that scoring a piece asks for, in order; slices follow one another in it."""
+    return np.unique(np.concatenate([t & LOW48, pair_hash(pairs(t, n), t) & LOW48, [START & LOW48]]))
+
+
+def scores_by_slices(docs: DataFrame, made: DataFrame, shards: int, common, scorer: Scorer) -> DataFrame:
+    """The same as scores(), with a filter that no worker holds: n-grams go to its slices, levels come back.
+
+    A piece's name is random, so what is sent is written before it is read twice.
+    """
+    slices = -(-shards // SLICE)
+
+    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, buf, offs in texts(batches, 4):
+            h = probes_of(*tokens(buf, offs))
+            cut = np.searchsorted(shard_of(h, shards) // SLICE, np.arange(slices + 1))
+            full, six = np.flatnonzero(np.diff(cut)), six_bytes(h)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(rows)
+            packed = [sink.getvalue().to_pybytes(), *(six[cut[s] : cut[s + 1]].tobytes() for s in full)]
+            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().bytes] * len(packed), pa.binary()), pa.array([-1, *full], pa.int32()), pa.array(packed, pa.binary())], names=["piece", "slice", "packed"])
+
+    def answer(sent: pa.Table, blocks: pa.Table) -> pa.Table:
+        f = assembled(dict(zip(blocks["shard"].to_pylist(), blocks["words"].to_pylist(), strict=True)), shards)
+        packed = sent["packed"].to_pylist()
+        h = of_six_bytes(packed)
+        levels = b"".join(f.level(h[i : i + LOOKED_UP]).astype(np.uint8).tobytes() for i in range(0, len(h), LOOKED_UP))
+        ends = np.cumsum([len(x) // 6 for x in packed], dtype=np.int64)
+        return pa.table({"piece": sent["piece"], "slice": sent["slice"], "packed": pa.array([levels[e - len(x) // 6 : e] for x, e in zip(packed, ends, strict=True)], pa.binary())})
+
+    def finish(group: pa.Table) -> pa.Table:
+        of = dict(zip(group["slice"].to_pylist(), group["packed"].to_pylist(), strict=True))
+        (rows,) = pa.ipc.open_stream(of.pop(-1))
+        buf, offs = K.text_buffer(rows.column(4))
+        h = probes_of(*tokens(buf, offs))
+        levels = np.frombuffer(b"".join(of[s] for s in sorted(of)), np.uint8).astype(np.int64)
+        if len(h) != len(levels):
+            raise ValueError(f"{len(levels)} levels for {len(h)} n-grams")
+        return pa.Table.from_batches([scorer.of(rows, buf, offs, lambda x: levels[np.searchsorted(h, x)], *common.value)])
+
+    sent = written(docs.mapInArrow(ask, "piece binary, slice int, packed binary"), "asked")
+    by_slice = made.withColumn("slice", F.floor(F.col("shard") / SLICE).cast("int")).groupBy("slice")
+    levels = sent.where("slice >= 0").groupBy("slice").cogroup(by_slice).applyInArrow(answer, "piece binary, slice int, packed binary")
+    return sent.where("slice < 0").unionByName(levels).groupBy("piece").applyInArrow(finish, SCORED)
 
 
 def found(t: np.ndarray, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -269,14 +355,19 @@ def language_model_scores(docs: DataFrame) -> DataFrame:
     often = counts.where(F.col("c") * COMMON >= n_tokens).collect()  # at most COMMON rows
     h, c = np.array([r.h for r in often], np.int64).view(np.uint64), np.array([r.c for r in often], np.int64)
     common = spark.sparkContext.broadcast((np.sort(h), c[np.argsort(h)]))
-    ngrams = spark.sparkContext.broadcast(build_filter(train, n_tokens))
+    scorer = Scorer(n_tokens, n_words)
+    made, shards = filter_shards(train, n_tokens)
+    if (made.agg(F.sum(F.length("words"))).first()[0] or 0) <= MOST_BYTES:
+        scored = scores(rows, spark.sparkContext.broadcast(gathered(made, shards)), common, scorer)
+    else:
+        scored = scores_by_slices(rows, made, shards, common, scorer)
 
     log = lambda c: F.log10((c + 0.1) / F.lit(n_tokens + 0.1 * (n_words + 1)))
     c = F.coalesce("c", F.lit(0))
     rare = rare_words(rows, common).join(counts, "h", "left").select("d", "k", F.when(c > 0, F.col("n")).otherwise(0).alias("known"), (F.col("n") * log(c)).alias("base"), F.lit(0).alias("one"))
     ones = rows.select("d", "k", F.lit(0).cast("bigint").alias("known"), F.lit(0.0).alias("base"), F.lit(1).alias("one"))
     by_doc = rare.unionByName(ones).groupBy("d", "k").agg(F.sum("known").alias("more"), F.sum("base").alias("rest"), F.sum("one").alias("m"))
-    out = scores(rows, ngrams, common, n_tokens, n_words).join(by_doc, ["d", "k"])
+    out = scored.join(by_doc, ["d", "k"])
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + (F.col("more") / F.col("m")).cast("bigint")).alias("n_known"),
         F.lit(n_tokens).cast("bigint").alias("train_tokens"), (F.col("base") + F.col("rest") / F.col("m")).alias("base_score"), "score",

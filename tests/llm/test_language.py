@@ -72,3 +72,11 @@ def test_held_out_text_is_predicted_better_than_by_words_alone(spark):
 def test_query(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     check(docs, [(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_filter_too_large_to_broadcast_keeps_its_bits(spark, clashing, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    of = lambda df: sorted(map(tuple, L.language_model_scores(df).collect()), key=repr)
+    whole, odd = of(docs), of(clashing)
+    monkeypatch.setattr(L, "MOST_BYTES", 1 << 10)
+    assert of(docs) == whole and of(clashing) == odd
