@@ -65,6 +65,12 @@ def zrank(z: DataFrame, probes: DataFrame) -> DataFrame:
     return z.join(asked, "key").groupBy("key", F.col("m").alias("member")).agg(F.sum(before.cast("bigint")).alias("rank"))
 
 
+def zrank_of_many(z: DataFrame, probes: DataFrame) -> DataFrame:
+    """The same as zrank(), for probes that grow with the sets: all members are ranked by parts, and probes
+    meet the rank of their own member only."""
+    return ranked_wide(z).join(probes.select(BY).distinct(), BY, "left_semi").select(*BY, "rank")
+
+
 def zrange_by_rank(z: DataFrame, start: int, end: int) -> DataFrame:
     """z's rows with rank from start to end, both inclusive; negative ones count from the end.
 

@@ -149,6 +149,14 @@ def sismember(spark: SparkSession, d: str) -> DataFrame:
     return S.sismember(T.supplier_parts(spark, d), small.crossJoin(F.broadcast(some)))  # five keys asked for every member
 
 
+@query(f"SELECT p.key, p.member, CAST(s.member IS NOT NULL AS INTEGER) AS found FROM (SELECT 'sup:' || l_suppkey AS key, CAST(l_partkey AS VARCHAR) AS member FROM lineitem UNION SELECT 'sup:' || l_suppkey, CAST(l_partkey + 1 AS VARCHAR) FROM lineitem UNION SELECT 'sup:' || s_suppkey, CAST(s_suppkey AS VARCHAR) FROM supplier) p LEFT JOIN {SUP} s ON s.key = p.key AND s.member = p.member")
+def sismember_every_key(spark: SparkSession, d: str) -> DataFrame:
+    of = lambda df, key, member: df.select(F.concat(F.lit("sup:"), F.col(key).cast("string")).alias("key"), F.explode(member.cast("array<string>")).alias("member"))
+    lines = of(T.table(spark, d, "lineitem"), "l_suppkey", F.array(F.col("l_partkey"), F.col("l_partkey") + 1))
+    own = of(T.table(spark, d, "supplier"), "s_suppkey", F.array(F.col("s_suppkey")))
+    return S.sismember(T.supplier_parts(spark, d), lines.unionByName(own).distinct())
+
+
 @query("SELECT 'type:' || event_type AS key, 'u' || user_id AS member, value AS score FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
 def zadd_scores(spark: SparkSession, d: str) -> DataFrame:
     return Z.zadd(_event_scores(spark, d), ["ts", "seq"])
@@ -197,6 +205,14 @@ def zrank_of_members(spark: SparkSession, d: str) -> DataFrame:
     return Z.zrank(z, z.where("member like '%00'"))
 
 
+@query(f"SELECT key, member, rank FROM {RANKED}")
+def zrank_of_every_member(spark: SparkSession, d: str) -> DataFrame:
+    c = T.table(spark, d, "customer")
+    ids = F.array(F.col("c_custkey"), F.col("c_custkey") + 1)  # each member, and mostly one of another key
+    probes = c.select(F.concat(F.lit("nation:"), F.col("c_nationkey").cast("string")).alias("key"), F.explode(F.transform(ids, lambda i: F.concat(F.lit("c"), i.cast("string")))).alias("member"))
+    return Z.zrank_of_many(T.customer_scores(spark, d), probes)
+
+
 @query(f"SELECT key, member, score, rank FROM {RANKED} WHERE rank BETWEEN 0 AND 4")
 def zrange_by_rank(spark: SparkSession, d: str) -> DataFrame:
     return Z.zrange_by_rank(T.customer_scores(spark, d), 0, 4)
