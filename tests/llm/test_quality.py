@@ -65,3 +65,8 @@ def test_sample_is_bounded(spark):
     labels = spark.range(5000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality", "0 as toxic")
     assert 300 < quality.labelled(labels, 500).count() < 700
     assert quality.labelled(labels, 5000).count() == 5000
+
+
+def test_fit_may_take_its_80_steps(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    assert quality.fit(docs, labels).getMaxIter() == 80
