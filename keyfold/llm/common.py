@@ -29,10 +29,12 @@ def bounded_batches(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it in spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    Only where the session names none and runs on one machine (tests) a temporary folder is set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="keyfold-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext.getCheckpointDir()
@@ -62,6 +64,14 @@ def forget(*tables: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def shuffle_width(df: DataFrame, bytes_each: int = 1 << 27) -> int:
+    """Partitions for a shuffle by hand of about as much as df: the session's number, or more where that would leave
+    over bytes_each to a partition, by Spark's own estimate of df's size (over 10 PB: it has none)."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return n if size > 10**16 else max(n, -(-size // bytes_each))
+
+
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns under fixed names, whatever else df holds: only(df, doc_id="bigint", text="string")."""
     return df.select(*[F.col(f"`{c}`").cast(kind).alias(c) for c, kind in columns.items()])

@@ -106,9 +106,16 @@ def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def words(buf: np.ndarray, offs: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, document, start, end) of every word; lower folds A-Z first."""
+    """(hash, document, start, end) of every word; lower folds A-Z first. A long text is hashed in stretches."""
     starts, ends, doc = word_spans(buf, offs)
-    return spans_hash(byte_sums(LOWER[buf] if lower else buf), starts, ends), doc, starts, ends
+    out, first = np.empty(len(starts), np.uint64), 0
+    while first < len(starts):
+        at = starts[first]
+        end = max(first + 1, int(np.searchsorted(ends, at + 2 * PIECE, side="right")))
+        some = buf[at : ends[end - 1]]
+        out[first:end] = spans_hash(byte_sums(LOWER[some] if lower else some), starts[first:end] - at, ends[first:end] - at)
+        first = end
+    return out, doc, starts, ends
 
 
 _ORDER = np.random.default_rng(20240301).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)

@@ -1,10 +1,12 @@
 """Operator 10: repeated passages by relative Lempel-Ziv parsing.
 
 Documents are factored against reference blocks: a block holds all contexts with one anchor (see repeats), and
-its index is the sorted hashes of their windows of `length` words. The parse takes at each word the
-longest factor that also stands elsewhere in the block; a factor of at least `length` words is a run of
-windows found in the index, and where one ends the windows over its border are looked up anew, so that a
-passage split between two factors isn't missed. Each word of such a factor is removed, in every copy.
+its index is the suffix order of their words (see suffixes). The parse is greedy: at each place it takes the
+longest factor that also stands elsewhere in the block, one word if there is none, and goes on where that
+ends. A factor of at least `length` words is a duplicate span. Where factors end, the windows that lie over the
+border are looked up in the index by themselves, so that a passage split between factors isn't missed.
+Equal contexts are one entry of the block; each of their places repeats the others, so all of it goes.
+Each word of a duplicate span is removed, in every copy.
 
 Rows with equal doc_id and text are one document: they are no copies of each other, and all get its
 result. Null and empty texts have no words. Removing takes a word and the white space after it.
@@ -24,6 +26,7 @@ from keyfold.llm import kernels as K
 from keyfold.llm import repeats as R
 from keyfold.llm.common import table
 from keyfold.llm.rules import SPACES
+from keyfold.llm.suffixes import Order, matches, parsed
 
 GRAM = 7
 
@@ -33,19 +36,40 @@ def word_symbols(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return h, np.r_[0, np.cumsum(np.bincount(doc, minlength=len(offs) - 1))]
 
 
+def word_values(symbols: np.ndarray) -> np.ndarray:
+    return symbols
+
+
+def word_strings(body: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words as numbers from 1, equal for equal words, with a 0 after each context."""
+    starts, ends, doc = K.word_spans(body, offs)
+    solid = body[~K.SPACE[body]]
+    at = np.r_[0, np.cumsum(ends - starts)].astype(np.int32)
+    words = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(solid.tobytes())])
+    n = np.bincount(doc, minlength=len(offs) - 1)
+    out = np.zeros(len(starts) + len(n), np.int64)
+    out[np.arange(len(starts)) + doc] = np.asarray(words.dictionary_encode().indices) + 1
+    return out, np.cumsum(n) - n + np.arange(len(n)), n
+
+
 def unit(length: int) -> R.Unit:
-    return R.Unit(length, min(GRAM, max(1, length // 2)), keep_first=False, raw=False, symbols=word_symbols)
+    gram = min(GRAM, max(1, length // 2))
+    return R.Unit(length, gram, False, 1, 2 * length - gram, word_symbols, word_values, K.word_spans, word_strings)
+
+
+def in_reference(length: int) -> R.Method:
+    """Windows within long factors, and those over the borders of factors that the index holds at another place."""
 
+    def method(order: Order, first: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        longest = matches(order)
+        at, size = parsed(longest, first, windows)
+        long = size >= length
+        gone = R.marked(at[long], (at + size)[long] - length + 1, len(longest))
+        border = np.flatnonzero(~gone)
+        gone[border] = longest[border] >= length
+        return gone
 
-def in_reference(window: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Windows that the reference block's index holds at another place too."""
-    order = np.argsort(window, kind="stable")
-    w, p = window[order], place[order]
-    group = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-    several = np.minimum.reduceat(p, group) != np.maximum.reduceat(p, group) if len(w) else np.zeros(0, bool)
-    out = np.zeros(len(order), bool)
-    out[order] = np.repeat(several, np.diff(np.r_[group, len(w)]))
-    return out
+    return method
 
 
 def remove_passages(docs: DataFrame, length: int = 35, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -57,7 +81,7 @@ def remove_passages(docs: DataFrame, length: int = 35, doc_id: str = "doc_id", t
     rest = [c for c in plain.columns if c not in (doc_id, text)]
     # without other columns the texts' shuffle is the same one that repeated_spans() needs
     rows = plain.select(*R.keyed_columns(doc_id, text), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row")) if rest else keyed
-    joined = rows.join(R.repeated_spans(keyed, u, in_reference), ["d", "k"], "left")
+    joined = rows.join(R.repeated_spans(keyed, u, in_reference(length)), ["d", "k"], "left")
     held = ["d", *["row"][: len(rest)]]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,13 +90,13 @@ def remove_passages(docs: DataFrame, length: int = 35, doc_id: str = "doc_id", t
                 part = batch.slice(first, end - first)
                 starts, ends, doc = K.word_spans(buf, offs)
                 n = np.bincount(doc, minlength=end - first)
-                gone = R.covered(part.column(0), np.r_[0, np.cumsum(n)], u)
+                _, begin, close = R.covered(part.column(0), np.r_[0, np.cumsum(n)], u)
+                gone = R.marked(begin, close, len(doc))
                 # a word goes with what stands up to the next word of its document
                 after = np.r_[starts[1:], len(buf)]
                 last = np.r_[doc[1:] != doc[:-1], True] if len(doc) else np.zeros(0, bool)
                 after[last] = offs[1:][doc[last]]
-                edge = np.bincount(starts[gone], minlength=len(buf) + 1) - np.bincount(after[gone], minlength=len(buf) + 1)
-                keep = np.cumsum(edge[: len(buf)]) == 0
+                keep = ~R.marked(starts[gone], after[gone], len(buf))
                 size = np.diff(np.r_[0, np.cumsum(keep)][offs])
                 body = pa.StringArray.from_buffers(end - first, pa.py_buffer(np.r_[0, np.cumsum(size)].astype(np.int32).tobytes()), pa.py_buffer(buf[keep].tobytes()))
                 removed = np.bincount(doc[gone], minlength=end - first)

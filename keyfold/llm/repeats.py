@@ -1,24 +1,30 @@
-"""Repeated windows over all documents: what operators 9 and 10 share.
+"""Repeated windows over all documents: the blocks that operators 9 and 10 work in.
 
 A document is a row of symbols (bytes or words). Which windows of `length` symbols stand elsewhere too is
 found without ever bringing all windows together:
 
 * Each window is put under its anchor: of the grams of `gram` symbols within the window the one with the
-  least hash, the leftmost of equals. Neighbouring windows mostly share an anchor, so a document has about
-  2 anchors for each length - gram + 1 symbols. The windows of one anchor make a context.
-* Equal windows have equal anchors. Where all contexts of an anchor are equal, the windows need no look.
-* Only where they differ (at the ends of repeats and around edits) the contexts themselves are shuffled,
-  and their windows are compared there.
-* Anchors that a sample of documents shows to be in very many places go another way, by grouped aggregation
-  alone, so that no task gets a whole hot anchor: the windows around it are taken in CORES parts by their
-  distance from it, all windows of a part hold its core, and only where a core stands in several places
-  the single windows are counted. The sample decides on the way only; the results are the same. At most
-  HOT_KEYS anchors are broadcast as hot.
-* Equal contexts within a piece of input are reduced to the first before anything is shuffled.
+  least hash, the leftmost of equals. Equal windows have equal anchors. Neighbouring windows mostly share an
+  anchor, so a document has about 2 anchors for each length - gram + 1 symbols. The windows of one anchor make a
+  context, and all contexts of one anchor are a block.
+* A block with very many different contexts is split: a context's windows are cut into PARTS by their distance
+  from the anchor. All windows of a part hold the part's core, the symbols they have in common, and
+  equal windows have equal cores, so the parts with one core are a block by themselves. This goes on until a
+  block isn't wide any more; at last it holds a single window's copies. Which blocks are wide is told by a
+  sample of documents, and decides on the way only: results are the same whatever the sample says.
+* Equal contexts of a block are one entry of it, that stands for its first place (so no copies, however
+  many, are compared). The other places repeat the whole context. Equal contexts within a piece of input, and in
+  frequent blocks those of a task, are reduced to one before anything is shuffled.
+* Blocks with several entries get the bytes of these, and a method (see suffix and lempel) compares
+  them there, symbol by symbol.
+
+A block goes to one task. It holds at most about SHARE of all contexts, or HOT * SAMPLE where that is more, as
+wider ones are split; so at most 1 / SHARE blocks of the sample are broadcast as wide or frequent.
 
 Documents are told apart and ordered by (doc_id, hash of the text): rows equal in both are one document,
-whose result holds for each of them. A null doc_id is before all others. Null text is as empty.
-Equality is that of 64-bit hashes under equal 64-bit anchors.
+whose result holds for each of them. A null doc_id is before all others. Null text is as empty. Very long
+documents are worked on in stretches of STRETCH symbols. Contexts are taken for equal by two 64-bit hashes, of
+the anchor and of the whole context; windows of different contexts by their symbols.
 """
 
 from __future__ import annotations
@@ -32,31 +38,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyfold.llm import kernels as K
-from keyfold.llm.common import bounded_batches, written
-
-#: One document in SAMPLE tells which anchors are hot: those seen HOT times there. At most HOT_KEYS of them.
-SAMPLE, HOT, HOT_KEYS = 64, 32, 100_000
-#: Rows that a reducing task looks at together, but for anchors that have more.
-ROWS = 200_000
+from keyfold.llm.common import bounded_batches, shuffle_width, written
+from keyfold.llm.suffixes import Order, ordered
+
+#: One document in SAMPLE tells which blocks are wide (HOT different contexts there, SHARE of all at least) or frequent.
+SAMPLE, HOT, SHARE = 64, 32, 1e-7
+#: Parts that a wide block's windows are cut into.
+PARTS = 4
+#: Rows that a reducing task looks at together, but for blocks that have more; bytes of contexts that are compared together.
+ROWS, TOGETHER = 200_000, 3 << 20
+STRETCH = 1 << 20
 FIRST_ID = -(1 << 63)
-#: Parts of the windows around a hot anchor.
-CORES = 4
-#: Bytes of a shipped window hash.
-HASH = 6
 
 
 @dataclass(frozen=True)
 class Unit:
-    """What a symbol is: symbols(buf, offs) gives a 64-bit value for each and the symbols' document offsets.
+    """What a symbol is.
 
-    raw says that symbols are the bytes themselves; contexts are then shipped as they are, else as the hashes
-    of their windows, 6 bytes of each, which only meet those of the same anchor."""
+    symbols(buf, offs) gives the symbols and the documents' offsets in them, values(symbols) a 64-bit hash of each,
+    places(buf, offs) where in buf each symbol begins and ends (None: symbols are bytes), strings(buf, offs)
+    comparable symbols of contexts, of which any number may stand between them, and where each context's begin
+    and how many they are."""
 
     length: int
     gram: int
     keep_first: bool
-    raw: bool
+    base: int
+    reach: int
     symbols: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+    values: Callable[[np.ndarray], np.ndarray]
+    places: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] | None
+    strings: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def keyed_columns(doc_id: str, text: str) -> list[Column]:
@@ -69,12 +81,49 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(keyed_columns(doc_id, text))
 
 
-def anchors(values: np.ndarray, offs: np.ndarray, unit: Unit) -> tuple[np.ndarray, ...]:
-    """(document, anchor, context, first, last, place) of all contexts: the hashes, the first and last window start,
-    and where the anchor stands."""
+def documents(batch: pa.RecordBatch, text: int = 2) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(row, end row, buf, offs) of pieces of a batch."""
+    buf, offs = K.text_buffer(batch.column(text))
+    for first, end in K.pieces(offs):
+        yield first, end, buf[offs[first] : offs[end]], offs[first : end + 1] - offs[first]
+
+
+def within(h: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Whether each hash is among some, which are sorted as signed numbers."""
+    if not len(some):
+        return np.zeros(len(h), bool)
+    x = h.view(np.int64)
+    return some[np.minimum(np.searchsorted(some, x), len(some) - 1)] == x
+
+
+@dataclass
+class Contexts:
+    """Contexts: block, hash, document key, first and last window start (symbols of the document)."""
+
+    h: np.ndarray
+    c: np.ndarray
+    d: np.ndarray
+    k: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+
+    def take(self, at: np.ndarray) -> Contexts:
+        return Contexts(*(x[at] for x in self.columns()))
+
+    def columns(self) -> tuple[np.ndarray, ...]:
+        return self.h, self.c, self.d, self.k, self.a, self.b
+
+    @staticmethod
+    def joined(parts: list[Contexts]) -> Contexts:
+        return Contexts(*(np.concatenate(x) for x in zip(*(p.columns() for p in parts), strict=True)))
+
+
+def anchored(values: np.ndarray, offs: np.ndarray, unit: Unit, wide: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(document, block, context, first, last) of all contexts, wide blocks split."""
     n, span, w = len(values), unit.length, unit.length - unit.gram + 1
-    none = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3)
-    if n < span:
+    none = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 2)
+    long = np.flatnonzero(np.diff(offs) >= span)
+    if not len(long):
         return none
     sums, inverse = K.prefix(values), K.powers(n + 1)[1]
     g = (sums[unit.gram :] - sums[: -unit.gram]) * inverse[: n - unit.gram + 1]
@@ -89,55 +138,78 @@ def anchors(values: np.ndarray, offs: np.ndarray, unit: Unit) -> tuple[np.ndarra
     if have < w:
         least = np.minimum(least[: len(least) - (w - have)], least[w - have :])
     valid = np.zeros(n - span + 2, np.int64)
-    sizes = np.diff(offs)
-    long = np.flatnonzero(sizes >= span)
-    if not len(long):
-        return none
     valid[offs[:-1][long]] += 1
     np.subtract.at(valid, offs[1:][long] - span + 1, 1)
     starts = np.flatnonzero(np.cumsum(valid[:-1]) > 0)
     at = (least[starts] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    doc = np.searchsorted(offs, starts, side="right") - 1
+    new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])])
     first, last, at = starts[new], starts[np.r_[new[1:], len(starts)] - 1], at[new]
-    return np.searchsorted(offs, first, side="right") - 1, K.mix(g[at]), K.spans_hash(sums, first, last + span), first, last, at
-
-
-def documents(batch: pa.RecordBatch, text: int = 2) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(row, end row, buf, offs) of pieces of a batch."""
-    buf, offs = K.text_buffer(batch.column(text))
-    for first, end in K.pieces(offs):
-        yield first, end, buf[offs[first] : offs[end]], offs[first : end + 1] - offs[first]
-
-
-class Reduced:
-    """The contexts of a piece, with those that equal contexts of the piece make known already."""
-
-    def __init__(self, d: np.ndarray, k: np.ndarray, buf: np.ndarray, offs: np.ndarray, unit: Unit):
-        self.values, self.offs = unit.symbols(buf, offs)
-        doc, self.h, self.c, first, last, self.place = anchors(self.values, self.offs, unit)
-        self.first, self.last = first, last
-        self.d, self.k, self.a, self.b = d[doc], k[doc], first - self.offs[doc], last - self.offs[doc]
-        order = np.lexsort((self.a, self.k, self.d, self.c, self.h))
-        lead, repeated = classes(self.h[order], self.c[order], self.d[order], self.k[order], self.a[order])
-        self.leads = order[lead]
-        self.known = order[repeated & ~lead] if unit.keep_first else order[repeated]
-
-
-def classes(h: np.ndarray, c: np.ndarray, d: np.ndarray, k: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For rows sorted by all of these: (the first place of each (h, c), places of a class that has several places
-    and, for all but its first, aren't that one). The lead of a class of one place is not repeated."""
-    n = len(h)
-    if not n:
-        return np.zeros(0, bool), np.zeros(0, bool)
+    doc, h, first, last = split(doc[new], K.mix(g[at]), at, first, last, sums, unit, wide)
+    return doc, h, K.spans_hash(sums, first, last + span), first, last
+
+
+def split(doc: np.ndarray, h: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, sums: np.ndarray, unit: Unit, wide: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(document, block, first, last) with contexts of wide blocks cut into parts, and those again. `at` is where
+    the anchor stands; a part holds the windows whose distance from it is in [low, high)."""
+    low, high = np.zeros(len(h), np.int64), np.full(len(h), unit.length - unit.gram + 1)
+    done = []
+    while True:
+        cut = within(h, wide) & (high - low > 1)
+        done.append([x[~cut] for x in (doc, h, first, last)])
+        if not cut.any():
+            break
+        rows = [x[cut] for x in (doc, h, at, first, last, low, high)]
+        step, parts = -(-(rows[6] - rows[5]) // PARTS), []
+        for part in range(PARTS):
+            doc, h, at, first, last, low, high = rows
+            low = low + part * step
+            high = np.minimum(low + step, high)
+            first, last = np.maximum(first, at - high + 1), np.minimum(last, at - low)
+            some = np.flatnonzero((low < high) & (first <= last))
+            doc, h, at, first, last, low, high = (x[some] for x in (doc, h, at, first, last, low, high))
+            core = K.spans_hash(sums, at - low, at - high + 1 + unit.length)
+            tag = K.mix(core + low.astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + high.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+            parts.append((doc, K.mix(h ^ tag), at, first, last, low, high))
+        doc, h, at, first, last, low, high = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return tuple(np.concatenate(x) for x in zip(*done, strict=True))
+
+
+def contexts_of(d: np.ndarray, k: np.ndarray, buf: np.ndarray, offs: np.ndarray, unit: Unit, wide: np.ndarray) -> Iterator[Contexts]:
+    """The contexts of a piece of documents; those of a long document in stretches."""
+    symbols, starts = unit.symbols(buf, offs)
+    step = STRETCH if len(d) == 1 else max(len(symbols), 1)
+    for s in range(0, len(symbols), step):
+        some = symbols[s : s + step + unit.length - 1]
+        inside = np.array([0, len(some)]) if len(d) == 1 else starts
+        doc, h, c, first, last = anchored(unit.values(some), inside, unit, wide)
+        shift = s - starts[doc]
+        yield Contexts(h, c, d[doc], k[doc], first + shift, last + shift)
+
+
+def paired(h: np.ndarray) -> np.ndarray:
+    """Which of sorted hashes have an equal neighbour."""
+    out = np.zeros(len(h), bool)
+    out[1:] = h[1:] == h[:-1]
+    out[:-1] |= out[1:]
+    return out
+
+
+def classes(x: Contexts, keep_first: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(leads, repeated): the first place of each (block, context), and the places that equal contexts elsewhere make
+    repeated, without the first if it is to be kept. Rows that are one place are no repeats of each other."""
+    order = np.argsort(x.h)
+    same = paired(x.h[order])
+    single, some = order[~same], order[same]
+    if not len(some):
+        return single, some
+    some = some[np.lexsort((x.a[some], x.k[some], x.d[some], x.c[some], x.h[some]))]
+    h, c, d, k, a = (y[some] for y in (x.h, x.c, x.d, x.k, x.a))
     lead = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])]
-    at = np.flatnonzero(lead)
-    of = np.cumsum(lead) - 1
+    at, of = np.flatnonzero(lead), np.cumsum(lead) - 1
     other = (d != d[at][of]) | (k != k[at][of]) | (a != a[at][of])
     several = np.logical_or.reduceat(other, at)[of]
-    return lead, several & (other | lead)
-
-
-OCC = "h bigint, c bigint, d bigint, k bigint, ab bigint"
+    return np.r_[single, some[lead]], some[several & (other if keep_first else (other | lead))]
 
 
 def packed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -148,76 +220,78 @@ def record(names: str, *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in columns], names=names.split())
 
 
-def hot_anchors(docs: DataFrame, unit: Unit) -> np.ndarray:
-    """The sorted hot anchors. At most HOT_KEYS rows come to the driver."""
+def hot_blocks(docs: DataFrame, unit: Unit) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted hashes of frequent and of wide blocks, at most 1 / SHARE of each, from a sample of documents."""
+    some = written(docs.where(F.pmod(F.xxhash64("d", "k"), F.lit(SAMPLE)) == 0), "sample")
+    wide, least = np.zeros(0, np.int64), None
+    while True:
+
+        def run(batches: Iterable[pa.RecordBatch], wide: np.ndarray = wide) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                d, k = (np.asarray(batch.column(i)) for i in range(2))
+                for first, end, buf, offs in documents(batch):
+                    for x in contexts_of(d[first:end], k[first:end], buf, offs, unit, wide):
+                        x = x.take(classes(x, True)[0])
+                        yield record("h c", x.h, x.c)
+
+        rows = some.mapInArrow(run, "h bigint, c bigint").groupBy("h", "c").agg(F.count("*").alias("n"))
+        blocks = written(rows.groupBy("h").agg(F.sum("n").alias("n"), F.count("*").alias("m")).where(F.col("n") >= F.lit(HOT)), "blocks")
+        if least is None:  # all contexts of the sample are at most as many as its symbols
+            least = max(HOT, SHARE * (some.agg(F.sum(F.length("text"))).first()[0] or 0))
+        found = blocks.where(F.col("n") >= F.lit(least)).collect()
+        frequent = np.sort(np.array([r.h for r in found], np.int64))
+        new = np.setdiff1d(np.array([r.h for r in found if r.m >= least], np.int64), wide)
+        if not len(new):
+            return frequent, wide
+        wide = np.union1d(wide, new)
+
+
+def emitted(docs: DataFrame, unit: Unit, hot) -> DataFrame:
+    """(kind, h, c, d, k, ab): kind 1 are contexts that equal ones make repeated already (h only spreads them), kind 2
+    the first of each class of equal contexts in each piece, or task in frequent blocks."""
+    schema = "kind int, h bigint, c bigint, d bigint, k bigint, ab bigint"
+
+    def rows(kind: int, x: Contexts) -> pa.RecordBatch:
+        h, c = (x.h, x.c) if kind == 2 else (K.mix(x.k.view(np.uint64) + x.a.astype(np.uint64)), np.zeros(len(x.h), np.uint64))
+        return record("kind h c d k ab", np.full(len(h), kind, np.int32), h, c, x.d, x.k, packed(x.a, x.b))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            d, k = (np.asarray(batch.column(i)) for i in range(2))
-            for first, end, buf, offs in documents(batch):
-                r = Reduced(d[first:end], k[first:end], buf, offs, unit)
-                h, n = np.unique(r.h[r.leads], return_counts=True)
-                yield record("h n", h, n.astype(np.int64))
-
-    some = docs.where(F.pmod(F.xxhash64("d", "k"), F.lit(SAMPLE)) == 0)
-    seen = some.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT)
-    return np.sort(np.array([r.h for r in seen.orderBy(F.desc("n"), "h").limit(HOT_KEYS).collect()], np.int64)).view(np.uint64)
+        frequent, wide = hot.value
+        held: list[Contexts] = []
+        size, room = 0, ROWS
 
+        def reduced() -> Iterator[pa.RecordBatch]:
+            nonlocal held, size
+            x = Contexts.joined(held)
+            lead, repeated = classes(x, unit.keep_first)
+            yield rows(1, x.take(repeated))
+            held, size = [x.take(lead)], len(lead)
 
-def is_hot(h: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """hot is sorted as signed numbers; so is the search."""
-    if not len(hot):
-        return np.zeros(len(h), bool)
-    x, y = h.view(np.int64), hot.view(np.int64)
-    return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
-
-
-def known_at_once(docs: DataFrame, unit: Unit, hot) -> DataFrame:
-    """(kind, d, k, ab, core, windows): kind 1 are spans that equal contexts of a piece make known, kind 2 the parts
-    of the windows around hot anchors, with their core's hash and their own."""
-    names = ["kind", "d", "k", "ab", "core", "windows"]
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d, k = (np.asarray(batch.column(i)) for i in range(2))
             for first, end, buf, offs in documents(batch):
-                r = Reduced(d[first:end], k[first:end], buf, offs, unit)
-                i, none = r.known, np.zeros(len(r.known), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (none + 1, r.d[i], r.k[i], packed(r.a[i], r.b[i]), none)] + [K.list_array(none[:0], none, pa.int64())], names=names)
-                i = r.leads[is_hot(r.h[r.leads], hot.value)]
-                if not len(i):
-                    continue
-                sums, step = K.prefix(r.values), -(-(unit.length - unit.gram + 1) // CORES)
-                for part in range(CORES):
-                    high, low = r.place[i] - part * step, r.place[i] - (part + 1) * step + 1
-                    lo, hi = np.maximum(low, r.first[i]), np.minimum(high, r.last[i])
-                    some = np.flatnonzero(lo <= hi)
-                    j, lo, hi, n = i[some], lo[some], hi[some], (hi - lo + 1)[some]
-                    core = K.spans_hash(sums, high[some], low[some] + unit.length)
-                    at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    wh = K.spans_hash(sums, at, at + unit.length).view(np.int64)
-                    shift = r.a[j] - r.first[j]
-                    columns = (np.full(len(j), 2), r.d[j], r.k[j], packed(lo + shift, hi + shift), core.view(np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns] + [K.list_array(wh, n, pa.int64())], names=names)
-
-    return docs.mapInArrow(run, "kind bigint, d bigint, k bigint, ab bigint, core bigint, windows array<bigint>")
-
-
-def occurrences(docs: DataFrame, unit: Unit, hot) -> DataFrame:
-    """(h, c, d, k, ab): the first of each class of equal contexts in each piece, hot anchors left out."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            d, k = (np.asarray(batch.column(i)) for i in range(2))
-            for first, end, buf, offs in documents(batch):
-                r = Reduced(d[first:end], k[first:end], buf, offs, unit)
-                i = r.leads[~is_hot(r.h[r.leads], hot.value)]
-                yield record("h c d k ab", r.h[i], r.c[i], r.d[i], r.k[i], packed(r.a[i], r.b[i]))
-
-    return docs.mapInArrow(run, OCC)
-
-
-def by_anchor(batches: Iterable[pa.RecordBatch], key: int = 0) -> Iterator[pa.RecordBatch]:
+                for x in contexts_of(d[first:end], k[first:end], buf, offs, unit, wide):
+                    lead, repeated = classes(x, unit.keep_first)
+                    if len(repeated):
+                        yield rows(1, x.take(repeated))
+                    often = within(x.h[lead], frequent)
+                    yield rows(2, x.take(lead[~often]))
+                    if often.any():
+                        held.append(x.take(lead[often]))
+                        size += int(often.sum())
+                        if size >= room:
+                            yield from reduced()
+                            if size >= ROWS // 2:  # little is equal: don't hold on to it
+                                yield rows(2, held[0])
+                                held, size = [], 0
+        if held:
+            yield from reduced()
+            yield rows(2, held[0])
+
+    return docs.mapInArrow(run, schema)
+
+
+def by_block(batches: Iterable[pa.RecordBatch], key: int = 0) -> Iterator[pa.RecordBatch]:
     """Batches, sorted by the key column, joined so that each holds whole keys and about ROWS rows."""
     held: list[pa.RecordBatch] = []
     size = 0
@@ -238,37 +312,31 @@ def by_anchor(batches: Iterable[pa.RecordBatch], key: int = 0) -> Iterator[pa.Re
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def judged(occ: DataFrame, unit: Unit, partitions: int) -> DataFrame:
-    """(kind, h, d, k, ab): kind 1 are spans decided by equal contexts, kind 2 the first of each class under an
-    anchor with several classes."""
+def judged(rows: DataFrame, unit: Unit, partitions: int) -> DataFrame:
+    """(kind, h, d, k, ab) of emitted(): kind 1 are contexts that equal ones make repeated, kind 2 the first of each
+    class in blocks with several classes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_anchor(batches):
-            h, c, d, k, ab = (np.asarray(batch.column(i)) for i in range(5))
-            twice = np.r_[False, h[1:] == h[:-1]]
-            twice[:-1] |= twice[1:]
-            h, c, d, k, ab = (x[twice] for x in (h, c, d, k, ab))
-            order = np.lexsort((ab, k, d, c, h))
-            h, c, d, k, ab = (x[order] for x in (h, c, d, k, ab))
-            lead, repeated = classes(h, c, d, k, ab)
-            spans = repeated & ~lead if unit.keep_first else repeated
-            firsts = np.flatnonzero(lead)
-            n = len(firsts)
-            mixed = np.zeros(n, bool)
-            if n > 1:
-                mixed[1:] = h[firsts][1:] == h[firsts][:-1]
-                mixed[:-1] |= mixed[1:]
-            i = firsts[mixed]
-            s = np.flatnonzero(spans)
-            both = np.r_[s, i]
-            yield record("kind h d k ab", np.r_[np.ones(len(s), np.int64), np.full(len(i), 2)], h[both], d[both], k[both], ab[both])
-
-    return occ.repartition(partitions, "h").sortWithinPartitions("h").mapInArrow(run, "kind bigint, h bigint, d bigint, k bigint, ab bigint")
-
-
-def contexts(mixed: DataFrame, docs: DataFrame, unit: Unit) -> DataFrame:
-    """(h, d, k, ab, windows): each context's bytes or window hashes (see Unit), taken from the texts."""
-    lists = mixed.groupBy("d", "k").agg(F.collect_list(F.struct("h", "ab")).alias("wanted"))
+        for batch in by_block(batches, 1):
+            kind, h, c, d, k, ab = (np.asarray(batch.column(i)) for i in range(6))
+            known = np.flatnonzero(kind == 1)
+            yield record("kind h d k ab", np.ones(len(known), np.int32), h[known], d[known], k[known], ab[known])
+            at = np.flatnonzero(kind == 2)
+            at = at[paired(h[at])]
+            x = Contexts(np.asarray(batch.column(1))[at].view(np.uint64), c[at].view(np.uint64), d[at], k[at], ab[at] >> 32, ab[at] & 0xFFFFFFFF)
+            lead, repeated = classes(x, unit.keep_first)
+            lead = lead[np.argsort(x.h[lead])]
+            several = paired(x.h[lead])
+            both = np.r_[repeated, lead[several]]
+            yield record("kind h d k ab", np.r_[np.ones(len(repeated), np.int32), np.full(int(several.sum()), 2, np.int32)], x.h[both], x.d[both], x.k[both], packed(x.a[both], x.b[both]))
+
+    dealt = rows.repartition(partitions, "h").sortWithinPartitions("h")
+    return dealt.mapInArrow(run, "kind int, h bigint, d bigint, k bigint, ab bigint")
+
+
+def with_bytes(entries: DataFrame, docs: DataFrame, unit: Unit) -> DataFrame:
+    """(h, d, k, ab, bytes): each context's bytes, taken from the texts."""
+    lists = entries.groupBy("d", "k").agg(F.collect_list(F.struct("h", "ab")).alias("wanted"))
     joined = docs.join(lists, ["d", "k"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,116 +345,122 @@ def contexts(mixed: DataFrame, docs: DataFrame, unit: Unit) -> DataFrame:
             wanted = batch.column(3)
             for first, end, buf, offs in documents(batch):
                 part = wanted.slice(first, end - first)
-                rows = np.asarray(part.flatten().field("h")), np.asarray(part.flatten().field("ab"))
-                doc = np.repeat(np.arange(end - first), np.diff(part.offsets.to_numpy()))
-                a, b = rows[1] >> 32, rows[1] & 0xFFFFFFFF
-                values, starts = unit.symbols(buf, offs)
-                n = b - a + 1
-                if unit.raw:
-                    n = n + unit.length - 1
-                at = np.repeat(starts[doc] + a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                if unit.raw:
-                    each, body = n, buf[at]
+                h, ab = np.asarray(part.flatten().field("h")), np.asarray(part.flatten().field("ab"))
+                doc = np.repeat(np.arange(end - first), np.asarray(part.value_lengths()))
+                a, b = ab >> 32, (ab & 0xFFFFFFFF) + unit.length
+                if unit.places is None:
+                    lo, hi = offs[doc] + a, offs[doc] + b
                 else:
-                    each, body = HASH * n, K.spans_hash(K.prefix(values), at, at + unit.length).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH]
-                payload = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.r_[0, np.cumsum(each)].astype(np.int32).tobytes()), pa.py_buffer(body.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(d[first:end][doc]), pa.array(k[first:end][doc]), pa.array(rows[1]), payload], names=["h", "d", "k", "ab", "windows"])
-
-    return joined.select("d", "k", "text", "wanted").mapInArrow(run, "h bigint, d bigint, k bigint, ab bigint, windows binary")
-
-
-#: verdict(hash of each window, its place in document order) says which windows are to go.
-Verdict = Callable[[np.ndarray, np.ndarray], np.ndarray]
-
-
-def compared(ctx: DataFrame, unit: Unit, partitions: int, verdict: Verdict) -> DataFrame:
-    """(d, k, ab): spans of windows that verdict() finds repeated under their anchor."""
+                    begins, ends, own = unit.places(buf, offs)
+                    before = np.searchsorted(own, doc)
+                    lo, hi = begins[before + a], ends[before + b - 1]
+                size = hi - lo
+                cuts = np.searchsorted(np.cumsum(size), np.arange(TOGETHER, int(size.sum()) + TOGETHER, TOGETHER))
+                for x, y in zip(np.r_[0, cuts], np.r_[cuts, len(size)], strict=True):
+                    if x == y:
+                        continue
+                    n = size[x:y]
+                    ends_at = np.cumsum(n)
+                    body = buf[np.repeat(lo[x:y] - (ends_at - n), n) + np.arange(ends_at[-1])]
+                    payload = pa.BinaryArray.from_buffers(pa.binary(), y - x, [None, pa.py_buffer(np.r_[0, ends_at].astype(np.int32).tobytes()), pa.py_buffer(body.tobytes())])
+                    own_rows = doc[x:y] + first
+                    yield pa.RecordBatch.from_arrays([pa.array(h[x:y]), pa.array(d[own_rows]), pa.array(k[own_rows]), pa.array(ab[x:y]), payload], names=["h", "d", "k", "ab", "bytes"])
+
+    return joined.select("d", "k", "text", "wanted").mapInArrow(run, "h bigint, d bigint, k bigint, ab bigint, bytes binary")
+
+
+#: method(suffixes in order, first suffix and number of suffixes of each context) says which windows are to go.
+Method = Callable[[Order, np.ndarray, np.ndarray], np.ndarray]
+
+
+def suffix_order(batch: pa.RecordBatch, unit: Unit) -> tuple[Order, np.ndarray, np.ndarray, np.ndarray]:
+    """(order, first suffix of each context, windows of each, rows of the batch the contexts are): whole blocks
+    in suffix order. Suffixes are numbered by position: contexts by block and place, windows within."""
+    h, d, k, ab = (np.asarray(batch.column(i)) for i in range(4))
+    place = np.lexsort((ab, k, d, h))
+    again = np.zeros(len(place), bool)  # rows that are one document bring a context twice
+    again[1:] = np.logical_and.reduce([x[place][1:] == x[place][:-1] for x in (h, d, k, ab)])
+    place = place[~again]
+    windows = ((ab & 0xFFFFFFFF) - (ab >> 32) + 1)[place]
+    body, offs = K.text_buffer(batch.column(4))
+    symbols, begin, size = unit.strings(body, offs)
+    block = np.cumsum(np.r_[False, h[place][1:] != h[place][:-1]])
+    owner = np.repeat(np.arange(len(place)), windows)
+    first = np.cumsum(windows) - windows
+    inside = np.arange(len(owner)) - first[owner]
+    key = symbols.astype(np.uint64)
+    if unit.base > 1:
+        key, wide = np.zeros(len(symbols), np.uint64), np.r_[symbols, np.zeros(unit.base, symbols.dtype)].astype(np.uint64)
+        for i in range(unit.base):
+            key |= wide[i : i + len(symbols)] << np.uint64(8 * (unit.base - 1 - i))
+    order = ordered(symbols, key, unit.base, unit.reach, begin[place][owner] + inside, size[place][owner] - inside, block[owner])
+    return order, first, windows, place
+
+
+def compared(ctx: DataFrame, unit: Unit, partitions: int, method: Method) -> DataFrame:
+    """(d, k, ab): runs of windows that the method finds repeated in their block."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in by_anchor(batches):
+        for whole in by_block(batches):
             h = np.asarray(whole.column(0))
-            firsts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-            ends = np.r_[firsts[1:], len(h)]
+            ends = np.flatnonzero(np.r_[h[1:] != h[:-1], True]) + 1
+            offs = K.text_buffer(whole.column(4))[1]
             row = 0
-            while row < len(h):  # about 20,000 contexts at a time
-                stop = int(ends[min(np.searchsorted(ends, row + 20_000), len(ends) - 1)])
+            while row < len(h):  # whole blocks of about TOGETHER bytes
+                fits = np.searchsorted(offs, offs[row] + TOGETHER, side="right") - 1
+                stop = int(ends[max(np.searchsorted(ends, fits, side="right") - 1, np.searchsorted(ends, row, side="right"))])
                 batch = whole.slice(row, stop - row)
                 row = stop
-                hh, d, k, ab = (np.asarray(batch.column(i)) for i in range(4))
-                a, b = ab >> 32, ab & 0xFFFFFFFF
-                n = b - a + 1
-                body, offs = K.text_buffer(batch.column(4))
-                owner = np.repeat(np.arange(len(n)), n)
-                inside = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-                if unit.raw:
-                    at = offs[:-1][owner] + inside
-                    wh = K.spans_hash(K.byte_sums(body), at, at + unit.length)
-                else:
-                    wide = np.zeros((len(owner), 8), np.uint8)
-                    wide[:, :HASH] = body.reshape(-1, HASH)
-                    wh = wide.view("<u8").ravel() ^ (K.mix(hh.view(np.uint64)) << np.uint64(8 * HASH))[owner]
-                place = np.lexsort((a, k, d))
-                rank = np.empty(len(place), np.int64)
-                same = np.zeros(len(place), bool)
-                same[1:] = (d[place][1:] == d[place][:-1]) & (k[place][1:] == k[place][:-1]) & (a[place][1:] == a[place][:-1])
-                rank[place] = np.maximum.accumulate(np.where(same, 0, np.arange(len(place))))
-                start = inside + a[owner]
-                i = np.flatnonzero(verdict(wh, rank[owner] << np.int64(32) | inside))
-                new = np.r_[True, (owner[i][1:] != owner[i][:-1]) | (start[i][1:] != start[i][:-1] + 1)] if len(i) else np.zeros(0, bool)
-                s = np.flatnonzero(new)
-                e = np.r_[s[1:], len(i)] - 1 if len(s) else s
-                o = owner[i][s]
-                yield record("d k ab", d[o], k[o], packed(start[i][s], start[i][e]))
-
-    return ctx.repartition(partitions, "h").sortWithinPartitions("h").mapInArrow(run, "d bigint, k bigint, ab bigint")
-
-
-def several(rows: DataFrame, by: str) -> DataFrame:
-    """(by, lo) of what stands in several places (d, k, ab), with the first one; reduced before the shuffle."""
-    place = F.struct("d", "k", "ab")
-    return rows.groupBy(by).agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where(F.col("lo") != F.col("hi")).select(by, "lo")
-
-
-def hot_spans(rows: DataFrame, unit: Unit) -> DataFrame:
-    """(d, k, ab) of the repeated ones among the windows of hot anchors."""
-    shared = rows.join(several(rows, "core").select("core"), "core", "left_semi")
-    each = shared.select("d", "k", F.shiftright("ab", 32).alias("a"), F.posexplode("windows").alias("i", "wh"))
-    at = F.col("a") + F.col("i")
-    single = each.select("d", "k", (F.shiftleft(at, 32).bitwiseOR(at)).alias("ab"), "wh")
-    found = single.join(several(single, "wh"), "wh")
-    return (found.where(F.struct("d", "k", "ab") != F.col("lo")) if unit.keep_first else found).select("d", "k", "ab")
-
-
-def repeated_spans(docs: DataFrame, unit: Unit, verdict: Verdict) -> DataFrame:
+                order, first, windows, place = suffix_order(batch, unit)
+                gone = method(order, first, windows)
+                d, k, ab = (np.asarray(batch.column(i))[place] for i in range(1, 4))
+                owner = np.repeat(np.arange(len(place)), windows)
+                i = np.flatnonzero(gone)
+                o = owner[i]
+                start = i - first[o] + (ab[o] >> 32)
+                new = np.flatnonzero(np.r_[True, (o[1:] != o[:-1]) | (start[1:] != start[:-1] + 1)]) if len(i) else i
+                end = np.r_[new[1:], len(i)] - 1 if len(i) else i
+                yield record("d k ab", d[o[new]], k[o[new]], packed(start[new], start[end]))
+
+    dealt = ctx.repartition(partitions, "h").sortWithinPartitions("h")
+    return dealt.mapInArrow(run, "d bigint, k bigint, ab bigint")
+
+
+def repeated_spans(docs: DataFrame, unit: Unit, method: Method) -> DataFrame:
     """(d, k, spans) of each document that has repeated windows; a span packs its first and last window start.
 
-    docs is as keyed() makes it. Where the windows of an anchor are judged is said at the module's head.
+    docs is as keyed() makes it. In which blocks windows are compared is said at the module's head.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hot = spark.sparkContext.broadcast(hot_anchors(docs, unit))
-    at_once = written(known_at_once(docs, unit, hot), "at-once")
-    parts = judged(occurrences(docs, unit, hot), unit, n)
-    spans = [
-        at_once.where("kind = 1").select("d", "k", "ab"),
-        hot_spans(at_once.where("kind = 2"), unit),
-        parts.where("kind = 1").select("d", "k", "ab"),
-        compared(contexts(parts.where("kind = 2"), docs, unit), unit, n, verdict),
-    ]
-    every = spans[0]
-    for s in spans[1:]:
-        every = every.unionByName(s)
-    return every.groupBy("d", "k").agg(F.collect_list("ab").alias("spans"))
-
-
-def covered(spans: pa.Array, offs: np.ndarray, unit: Unit) -> np.ndarray:
-    """Which symbols of a piece the spans of its documents cover; offs are the documents' symbol offsets."""
+    hot = spark.sparkContext.broadcast(hot_blocks(docs, unit))
+    n = shuffle_width(docs)
+    rows = judged(emitted(docs, unit, hot), unit, n)
+    known = rows.where("kind = 1").select("d", "k", "ab")
+    found = compared(with_bytes(rows.where("kind = 2"), docs, unit), unit, n, method)
+    return known.unionByName(found).groupBy("d", "k").agg(F.collect_list("ab").alias("spans"))
+
+
+def covered(spans: pa.Array, offs: np.ndarray, unit: Unit) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, begin, end) of the maximal runs of symbols that the spans of a piece's documents cover, in order; offs are
+    the documents' symbol offsets, and runs are within the whole piece."""
     ab = np.asarray(spans.flatten())
     n = np.asarray(spans.value_lengths().fill_null(0)).astype(np.int64)
     doc = np.repeat(np.arange(len(n)), n)
-    edge = np.bincount(offs[doc] + (ab >> 32), minlength=offs[-1] + 1) - np.bincount(offs[doc] + (ab & 0xFFFFFFFF) + unit.length, minlength=offs[-1] + 1)
-    return np.cumsum(edge[: offs[-1]]) > 0
+    begin, end = offs[doc] + (ab >> 32), offs[doc] + (ab & 0xFFFFFFFF) + unit.length
+    order = np.argsort(begin, kind="stable")
+    doc, begin, end = doc[order], begin[order], np.maximum.accumulate(end[order]) if len(order) else end
+    new = np.r_[True, (begin[1:] > end[:-1]) | (doc[1:] != doc[:-1])] if len(order) else np.zeros(0, bool)
+    at = np.flatnonzero(new)
+    return doc[at], begin[at], end[np.r_[at[1:], len(order)] - 1] if len(at) else at
+
+
+def marked(begin: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    """Which of n places disjoint runs cover."""
+    edge = np.zeros(n + 1, np.int8)
+    np.add.at(edge, begin, 1)
+    np.subtract.at(edge, end, 1)
+    return np.cumsum(edge[:n], dtype=np.int8) > 0
 
 
 def original_id() -> Column:

@@ -3,9 +3,10 @@
 The longest previous factor of a position is the longest string that starts there and also starts at an
 earlier position. In suffix order it is the longer of the common prefixes with the nearest suffixes, before
 and after, that have a smaller position. A byte goes if a position whose factor has at least `length` bytes
-covers it. Only suffixes with a common anchor (see repeats) can share so much, so the suffixes of each
-anchor are put in order by themselves, and only as far as `length` bytes: suffixes that are equal so far
-are neighbours, and those with a smaller position among them are the previous and next smaller ones.
+covers it. Only suffixes with a common anchor (see repeats) can share so much, so each block of contexts
+is put in suffix order by itself, as far as `length` bytes, and the array is made there (see suffixes).
+Equal contexts are one entry, at their first place: all other places have the first one before them, so
+their factors span the context.
 
 Positions are ordered by doc_id (null first), then by the hash of the text, then by the start; rows with equal
 doc_id and text are one document and all get its result. Null and empty texts have nothing to remove.
@@ -24,51 +25,54 @@ from pyspark.sql import functions as F
 from keyfold.llm import kernels as K
 from keyfold.llm import repeats as R
 from keyfold.llm.common import table
+from keyfold.llm.suffixes import Order, longest_previous_factors
 
 GRAM = 28
 
 
 def byte_symbols(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return K._BYTE[buf], offs
+    return buf, offs
+
+
+def byte_values(symbols: np.ndarray) -> np.ndarray:
+    return K._BYTE[symbols]
+
+
+def byte_strings(body: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return body, offs[:-1], np.diff(offs)
 
 
 def unit(length: int) -> R.Unit:
-    return R.Unit(length, min(GRAM, max(1, length // 2)), keep_first=True, raw=True, symbols=byte_symbols)
+    return R.Unit(length, min(GRAM, max(1, length // 2)), True, 8 if length >= 8 else 1, length, byte_symbols, byte_values, None, byte_strings)
+
+
+def with_previous(length: int) -> R.Method:
+    """Windows whose longest previous factor has `length` bytes."""
 
+    def method(order: Order, first: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        return longest_previous_factors(order) >= length
 
-def has_previous(prefix: np.ndarray, position: np.ndarray) -> np.ndarray:
-    """Whether the longest previous factor reaches the prefix's length: in suffix order (equal prefixes together,
-    by position) a smaller position stands before it with the same prefix."""
-    order = np.lexsort((position, prefix))
-    p, x = position[order], prefix[order]
-    group = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-    out = np.zeros(len(order), bool)
-    out[order] = p > np.repeat(p[group], np.diff(np.r_[group, len(p)]))
-    return out
+    return method
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, starts, ends, kept) of every row of docs: the removed runs (byte offsets, from
     and up to), and what is left as binary."""
     keyed, u = R.keyed(docs, doc_id, text), unit(length)
-    joined = keyed.join(R.repeated_spans(keyed, u, has_previous), ["d", "k"], "left")
+    joined = keyed.join(R.repeated_spans(keyed, u, with_previous(length)), ["d", "k"], "left")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, buf, offs in R.documents(batch, 1):
                 part = batch.slice(first, end - first)
-                gone = R.covered(part.column(2), offs, u)
-                doc = np.repeat(np.arange(end - first), np.diff(offs))
-                edge = np.r_[False, (doc[1:] != doc[:-1])] if len(doc) else np.zeros(0, bool)
-                opens = np.flatnonzero(gone & (edge | ~np.r_[False, gone[:-1]]))
-                closes = np.flatnonzero(gone & (np.r_[edge[1:], True] | ~np.r_[gone[1:], False])) + 1
-                kept = buf[~gone]
-                removed = np.bincount(doc[gone], minlength=end - first)
-                runs = np.bincount(doc[opens], minlength=end - first)
+                doc, opens, closes = R.covered(part.column(2), offs, u)
+                kept = buf[~R.marked(opens, closes, len(buf))]
+                removed = np.bincount(doc, closes - opens, minlength=end - first).astype(np.int64)
+                runs = np.bincount(doc, minlength=end - first)
                 at = np.r_[0, np.cumsum(np.diff(offs) - removed)]
                 body = pa.BinaryArray.from_buffers(pa.binary(), end - first, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(kept.tobytes())])
-                lists = [K.list_array(x - offs[doc[opens]], runs, pa.int64()) for x in (opens, closes)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offs)), pa.array(removed.astype(np.int64)), *lists, body], names=["d", "n_bytes", "n_removed", "starts", "ends", "kept"])
+                lists = [K.list_array(x - offs[doc], runs, pa.int64()) for x in (opens, closes)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offs)), pa.array(removed), *lists, body], names=["d", "n_bytes", "n_removed", "starts", "ends", "kept"])
 
     out = joined.select("d", "text", "spans").mapInArrow(run, "d bigint, n_bytes bigint, n_removed bigint, starts array<bigint>, ends array<bigint>, kept binary")
     return out.select(R.original_id(), "n_bytes", "n_removed", "starts", "ends", "kept")
