@@ -3,6 +3,8 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -48,15 +50,37 @@ def test_few_and_none(spark):
 
 
 @settings(max_examples=25, deadline=None)
-@given(st.lists(st.lists(st.integers(-3, 3), min_size=3, max_size=3), min_size=2, max_size=60))
-def test_block_is_exact(vectors):
-    import numpy as np
-
-    v, ids = np.array(vectors, float), np.arange(len(vectors))
-    i, vec, score = vafile.Block(ids, v).best(ids, v, 3)
-    got = sorted(zip(i.tolist(), vec.tolist(), score.tolist(), strict=True))
-    want = sorted((q, x, s) for q in range(len(v)) for s, x in [(-a, b) for a, b in sorted((-float(v[q] @ v[x]), x) for x in range(len(v)) if x != q)[:3]])
-    assert got == want
+@given(st.lists(st.lists(st.integers(-3000, 3000), min_size=3, max_size=3), min_size=2, max_size=60), st.integers(1, 6))
+def test_bounds_rule_nothing_out_that_is_among_the_best(vectors, k):
+    v, ids = np.array(vectors), np.arange(len(vectors))
+    low, step, cells = vafile.cells_of(v)
+    found = vafile.scan(v.astype(float), ids, ids, low, step, cells, k).possible(k)
+    there = set(zip(found.q.tolist(), found.row.tolist(), strict=True))
+    for i in range(len(v)):
+        exact = v @ v[i]
+        others = sorted((-exact[j], j) for j in range(len(v)) if j != i)
+        assert {(i, j) for _, j in others[:k]} <= there
+    exact = (v[found.q] * v[found.row]).sum(axis=1)
+    assert ((found.lower <= exact) & (exact <= found.upper)).all()
+
+
+def test_few_exact_vectors_are_read(spark):
+    """Components of wide range, so that cells are coarse: results are exact, and few exact vectors are read for them."""
+    r = random.Random(6)
+    rows = [(i, [r.randint(-6400, 6400) / 64 for _ in range(16)], 0, "") for i in range(2000)]
+    seen = []
+    real = vafile.read
+
+    def counted(wanted, *rest):
+        seen.append(wanted.count())
+        return real(wanted, *rest)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(vafile, "read", counted)
+        m.setattr(vafile, "CHUNK", 7)  # several scans
+        got = ask(spark, rows)
+    assert got == brute(rows)
+    assert seen[0] == 5 * 40 and seen[1] < 40 * 2000 / 20
 
 
 def test_query(spark):
