@@ -46,7 +46,7 @@ SAMPLE, HOT, SHARE = 64, 32, 1e-7
 #: Parts that a wide block's windows are cut into.
 PARTS = 4
 #: Rows that a reducing task looks at together, but for blocks that have more; bytes of contexts that are compared together.
-ROWS, TOGETHER = 200_000, 3 << 20
+ROWS, TOGETHER = 200_000, 1 << 20
 STRETCH = 1 << 20
 FIRST_ID = -(1 << 63)
 
