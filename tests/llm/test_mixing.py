@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -67,12 +69,27 @@ def test_few(spark, data):
     assert mixing.mix(df).columns == df.columns
 
 
-def test_newton_finds_the_rate(spark):
-    from pyspark.sql import functions as F
-
-    df = spark.createDataFrame([(100.0, t) for t in (0.001, 1.0, 50.0, 100.0, 200.0)], "s double, t double")
-    for r in df.select("t", F.exp(mixing.newton(F.col("s"), F.col("t"))).alias("rate")).collect():
-        assert abs(r.rate - r.t / 100) < 1e-9
+def test_rates_are_the_optimum_of_the_dual(spark):
+    """Rates differ by document, meet the constraints, and come from the multiplier that bisection finds."""
+    r = random.Random(9)
+    sizes = [(i, f"s{i % 4}", r.choice([1, 2, 5, 30, 200, 9000])) for i in range(400)]
+    total = {s: sum(n for _, x, n in sizes if x == s) for s in ("s0", "s1", "s2", "s3")}
+    want = {"s0": 0.03 * total["s0"], "s1": total["s1"] * 1.0, "s2": 1.7 * total["s2"], "s3": 2.0 * total["s3"]}
+    rows = spark.createDataFrame([(i, s, n, 1) for i, s, n in sizes], "doc_id bigint, source string, size bigint, n bigint")
+    targets = spark.createDataFrame([(s, total[s], want[s]) for s in total], "source string, source_size bigint, target double")
+    solved = mixing.balanced(rows, targets, 2.0)
+    rates = {x.doc_id: x.rate for x in rows.join(solved, "source").withColumn("rate", mixing.document_rate(2.0)).collect()}
+    for s in total:
+        mine = [(n, rates[i]) for i, x, n in sizes if x == s]
+        assert abs(sum(n * w for n, w in mine) - want[s]) <= 1e-5 * want[s]
+        low, high, mean = -1e7, 1e7, total[s] / len(mine)
+        for _ in range(200):
+            mid = (low + high) / 2
+            got = sum(n * math.exp(min(mid * n / mean, math.log(2))) for n, _ in mine)
+            low, high = (mid, high) if got < want[s] else (low, mid)
+        if s != "s3":
+            assert all(abs(w - math.exp(min(high * n / mean, math.log(2)))) < 1e-3 for n, w in mine)
+    assert len({round(rates[i], 6) for i, s, _ in sizes if s == "s0"}) > 3
 
 
 def test_mix_repeats_rows_as_planned(spark, clashing):
