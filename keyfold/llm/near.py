@@ -8,13 +8,16 @@ reaches the threshold is below MISS; the survivors' whole shingle sets are compa
 A bucket of a band is never spread into all its pairs. Its members are compared with the bucket's hub, the
 member that shares the most buckets with others; links make components, and pairs within one component
 need no comparison any more. What is left are pairs of a bucket whose components differ. Documents that have
-too few shingles in common with all the others of these together drop out. The rest are compared by
-tiles: two blocks of at most about BLOCK documents of one group, whose overlaps are a matrix product of their
-shingle sets, and of whose links a tile returns only as many as join its components. Groups are what
-shared buckets connect, or the single buckets where that would be more than GROUP documents. So no link
-between components is lost, and the rows made grow with the documents, not with pairs.
+too few shingles in common with all the others of these together drop out, and of buckets with the same members
+one is enough. The rest are compared by tiles: two blocks of one bucket, of about BLOCK documents or
+BLOCK_SHINGLES shingles at most, whose overlaps are a matrix product of their shingle sets, and of whose links a tile
+returns only as many as join its components. So no link between components of a bucket is lost, and the
+links made grow with the documents, not with pairs. Documents of one bucket that are all near each other, but not
+near enough, do cost comparisons with the square of their number, and each is sent to as many tiles as
+its bucket has blocks: that all of them are no links can't be told otherwise.
 
-With BANDS bands of ROWS rows a pair at the threshold shares no bucket with probability below 1e-6.
+The number of bands follows from the threshold: a pair at the threshold shares no bucket with probability below
+MISS (24 bands of 5 rows at 85 percent, 35 at 80).
 
 Null and empty texts have empty sets and are linked with nothing, as are rows with a null doc_id, which
 are kept and have a null component. Rows with one doc_id are one node that has the links of all of them;
@@ -24,7 +27,7 @@ rows of equal text are in one class. Links of exact copies hold whatever their l
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from math import comb
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -35,15 +38,30 @@ from keyfold.llm import kernels as K
 from keyfold.llm.common import bounded_batches, forget, table, written
 from keyfold.llm.components import components
 
-BANDS, ROWS = 24, 5
-#: Signature values compared at a time, and the posterior below which a pair is given up.
+#: Signature values compared at a time, and the probability with which a pair at the threshold may share no bucket,
+#: or be given up by its posterior.
 BATCH, MISS = 24, 1e-6
-#: Documents of a tile's block, and of a group that is compared as a whole.
-BLOCK, GROUP = 1000, 20_000
+#: Signature values at most, if a band can have more than one row.
+SIGNATURE = 256
+#: Documents and shingles of a tile's block.
+BLOCK, BLOCK_SHINGLES = 1000, 1 << 20
 
-_rng = np.random.default_rng(20240311)
-_A = (_rng.integers(0, 1 << 31, BANDS * ROWS) * 2 + 1).astype(np.uint32)
-_B = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
+
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, rows of each) for a threshold: as many rows, up to 5, as SIGNATURE allows."""
+    t = percent / 100
+    for rows in (5, 4, 3, 2, 1):
+        bands = ceil(log(MISS) / log(1 - t**rows)) if t < 1 else 1
+        if bands * rows <= SIGNATURE or rows == 1:
+            return bands, rows
+    raise AssertionError
+
+
+def permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and addends of n hash functions of 32 bits."""
+    rng = np.random.default_rng(20240311)
+    x = rng.integers(0, 1 << 32, (n, 2), dtype=np.uint64).astype(np.uint32)
+    return x[:, 0] | np.uint32(1), x[:, 1]
 
 
 def shingles(buf: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,10 +86,12 @@ def shingles(buf: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray,
     return g[new], d[new]
 
 
-def sketch(docs: DataFrame, size: int) -> DataFrame:
+def sketch(docs: DataFrame, size: int, bands_of: int, rows_of: int) -> DataFrame:
     """(doc_id, n_shingles, c1, c2, bands, signature) of every row of docs (doc_id, text); c1 and c2 are a
     digest of the set; bands and signature are null for empty sets."""
     bounded_batches(docs.sparkSession)
+    values = bands_of * rows_of
+    factor, addend = permutations(values)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,15 +103,15 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
                 has = np.flatnonzero(n)
                 start = (np.cumsum(n) - n)[has]
                 c1, c2 = np.zeros(end - first, np.uint64), np.zeros(end - first, np.uint64)
-                signature = np.zeros((len(has), BANDS * ROWS), np.uint32)
-                bands = np.zeros((len(has), BANDS), np.uint64)
+                signature = np.zeros((len(has), values), np.uint32)
+                bands = np.zeros((len(has), bands_of), np.uint64)
                 if len(has):
                     c1[has], c2[has] = np.add.reduceat(K.mix(g), start), np.add.reduceat(K.mix(g ^ np.uint64(0x5851F42D4C957F2D)), start)
                     x = (g >> np.uint64(32)).astype(np.uint32)
-                    for k in range(BANDS * ROWS):
-                        signature[:, k] = np.minimum.reduceat(x * _A[k] + _B[k], start)
-                    wide = signature.astype(np.uint64).reshape(len(has), BANDS, ROWS)
-                    bands = K.mix((wide * K._ORDER[:ROWS]).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * K._ORDER[ROWS])
+                    for k in range(values):
+                        signature[:, k] = np.minimum.reduceat(x * factor[k] + addend[k], start)
+                    wide = signature.astype(np.uint64).reshape(len(has), bands_of, rows_of)
+                    bands = K.mix((wide * K._ORDER[:rows_of]).sum(axis=2, dtype=np.uint64) + np.arange(bands_of, dtype=np.uint64) * K._ORDER[rows_of])
                 empty = np.ones(end - first, bool)
                 empty[has] = False
                 raw = iter(signature)
@@ -101,7 +121,7 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
                         pa.array(n.astype(np.int64)),
                         pa.array(c1.view(np.int64)),
                         pa.array(c2.view(np.int64)),
-                        K.list_array(bands.view(np.int64).ravel(), np.where(empty, 0, BANDS), pa.int64()),
+                        K.list_array(bands.view(np.int64).ravel(), np.where(empty, 0, bands_of), pa.int64()),
                         pa.array([None if e else next(raw).tobytes() for e in empty], pa.binary()),
                     ],
                     names=["doc_id", "n_shingles", "c1", "c2", "bands", "signature"],
@@ -110,11 +130,11 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, c1 bigint, c2 bigint, bands array<bigint>, signature binary")
 
 
-def fewest(threshold: float) -> list[tuple[int, int]]:
+def fewest(threshold: float, values: int) -> list[tuple[int, int]]:
     """(values compared, least matches to go on): below, the posterior of similarity >= threshold under a
     flat prior, which is a binomial tail, is less than MISS."""
     out = []
-    for n in range(BATCH, BANDS * ROWS + 1, BATCH):
+    for n in range(BATCH, values + 1, BATCH):
         tail, m = 0.0, 0
         while m <= n:
             tail += comb(n + 1, m) * threshold**m * (1 - threshold) ** (n + 1 - m)
@@ -125,18 +145,18 @@ def fewest(threshold: float) -> list[tuple[int, int]]:
     return out
 
 
-def surviving(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def surviving(pairs: DataFrame, nodes: DataFrame, percent: int, values: int) -> DataFrame:
     """The (a, b) of pairs that sequential comparison of the signatures doesn't give up."""
     one = lambda c: nodes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("signature").alias(f"s_{c}"))
     both = pairs.join(one("b"), "b").join(one("a"), "a")
     near = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    steps = fewest(percent / 100)
+    steps = fewest(percent / 100, values)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, BANDS * ROWS) for c in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, values) for c in (2, 3))
             at, matches, done = np.arange(len(x)), np.zeros(len(x), np.int64), 0
             for n, least in steps:
                 matches[at] += (x[at, done:n] == y[at, done:n]).sum(axis=1)
@@ -208,19 +228,15 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[int]:
 
 def tiled_links(rows: DataFrame, texts: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
     """(a, b): links between components c among rows (band, node, c), enough to join all that are linked."""
-    able = shared_shingles(texts, rows, nodes, size).where((100 + percent) * F.col("most") >= percent * (F.col("n_shingles") + F.ceil(F.col("n_shingles") * percent / 100))).select("node")
-    rest = written(rows.join(able, "node", "left_semi"), "open")
-    hubs = rest.groupBy("band").agg(F.min("node").alias("hub"))
-    groups = components(rest.join(hubs, "band").select("node", "hub"), "node", "hub").select("node", F.col("component").alias("g"))
-    many = groups.groupBy("g").agg(F.count("*").alias("n"))
-    placed = written(groups.join(many, "g"), "groups")
-    whole = rest.select("node", "c").distinct().join(placed.where(F.col("n") <= GROUP), "node").select(F.lit(0).alias("kind"), "g", "node", "c", "n")
-    large = rest.join(placed.where(F.col("n") > GROUP).select("node"), "node", "left_semi")
-    single = large.join(large.groupBy("band").agg(F.count("*").alias("n")), "band").select(F.lit(1).alias("kind"), F.col("band").alias("g"), "node", "c", "n")
-    blocks = F.ceil(F.col("n") / BLOCK)
-    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    tiles = whole.unionByName(single).withColumn("i", mine).withColumn("j", F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1)))
-    tiles = tiles.select("kind", "g", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), F.col("i").alias("own"), "node", "c")
+    able = shared_shingles(texts, rows, nodes, size).where((100 + percent) * F.col("most") >= percent * (F.col("n_shingles") + F.ceil(F.col("n_shingles") * percent / 100))).select("node", "n_shingles")
+    rest = written(rows.join(able, "node"), "open")
+    mark = F.xxhash64("node")
+    same = [F.count("*").alias("n"), F.sum("n_shingles").alias("w"), F.bit_xor(mark).alias("x"), F.sum(F.pmod(mark, F.lit(1 << 31))).alias("y")]
+    buckets = rest.groupBy("band").agg(*same).where("n > 1").groupBy("n", "w", "x", "y").agg(F.min("band").alias("band"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("w") / BLOCK_SHINGLES))
+    tiles = rest.join(buckets.select("band", blocks.alias("blocks")), "band")
+    tiles = tiles.withColumn("i", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
+    tiles = tiles.select("band", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), F.col("i").alias("own"), "node", "c")
 
     def run(tile: pa.Table) -> pa.Table:
         x, y = tile["x"][0].as_py(), tile["y"][0].as_py()
@@ -250,7 +266,7 @@ def tiled_links(rows: DataFrame, texts: DataFrame, nodes: DataFrame, size: int,
         keep = forest(c[p], c[q])
         return pa.table({"a": pa.array(node[p[keep]]), "b": pa.array(node[q[keep]])})
 
-    return tiles.join(texts.select("node", "text"), "node").groupBy("kind", "g", "x", "y").applyInArrow(run, "a bigint, b bigint")
+    return tiles.join(texts.select("node", "text"), "node").groupBy("band", "x", "y").applyInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -261,7 +277,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    sketches = written(sketch(rows, size), "sketch")
+    bands_of, rows_of = banding(percent)
+    sketches = written(sketch(rows, size, bands_of, rows_of), "sketch")
     full = sketches.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = full.groupBy("c1", "c2", "n_shingles").agg(F.min("doc_id").alias("node"))
     # one row of each class stands for it; equal sets have equal bands and signatures
@@ -280,7 +297,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
     pairs = members_of.join(hubs, "band").where(F.col("node") != F.col("hub")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
     new = written(pairs, "pairs")
-    links = written(confirmed(surviving(new, nodes, percent), candidates, size, percent).where("linked").select("a", "b"), "links")
+    links = written(confirmed(surviving(new, nodes, percent, bands_of * rows_of), candidates, size, percent).where("linked").select("a", "b"), "links")
     joined = written(components(links), "components")
     held = members_of.join(joined, "node", "left").select("band", "node", F.coalesce("component", "node").alias("c"))
     mixed = held.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).where((F.col("c0") != F.col("c1")) & (F.col("n") > 2))

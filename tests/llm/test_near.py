@@ -50,12 +50,12 @@ def test_empty_table(nothing):
     assert found(nothing) == []
 
 
-@pytest.mark.parametrize("block,group", [(1000, 20_000), (7, 20_000), (7, 1)])
-def test_edited_copies_of_one_text(spark, monkeypatch, block, group):
-    """Links through the original only, chains, and copies just below the threshold; one tile, many tiles, and
-    tiles of single buckets."""
+@pytest.mark.parametrize("block,shingles,size,percent", [(1000, 1 << 20, 3, 85), (7, 1 << 20, 5, 80), (1000, 900, 3, 85)])
+def test_edited_copies_of_one_text(spark, monkeypatch, block, shingles, size, percent):
+    """Links through the original only, chains, and copies just below the threshold, in buckets of many documents; one
+    tile, tiles of few documents, and tiles of few shingles."""
     monkeypatch.setattr(near, "BLOCK", block)
-    monkeypatch.setattr(near, "GROUP", group)
+    monkeypatch.setattr(near, "BLOCK_SHINGLES", shingles)
     r = random.Random(3)
     base = prose(11, 220).split()
     rows = []
@@ -70,15 +70,22 @@ def test_edited_copies_of_one_text(spark, monkeypatch, block, group):
         rows.append((2000 + i, " ".join(drift)))
     rows += [(3000 + i, prose(500 + i, 90)) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    assert found(df, size=3, percent=85) == brute(rows, 3, 85)
+    assert found(df, size=size, percent=percent) == brute(rows, size, percent)
 
 
 def test_fewest_matches_lose_only_what_they_may():
-    for n, least in near.fewest(0.85):
+    for n, least in near.fewest(0.85, 120):
         below = np.random.default_rng(1).binomial(n, 0.85, 200_000) < least
         assert 0 < least < n and below.mean() < 1e-4
 
 
+@pytest.mark.parametrize("percent", [20, 50, 70, 80, 85, 99, 100])
+def test_bands_lose_only_what_they_may(percent):
+    bands, rows = near.banding(percent)
+    assert (1 - (percent / 100) ** rows) ** bands <= 1e-6
+    assert {80: (35, 5), 85: (24, 5)}.get(percent, (bands, rows)) == (bands, rows)
+
+
 def test_shingles_by_hand():
     buf, offs = K.text_buffer(pa.array(["a b c a b c", "A", None, "x y"]))
     g, d = near.shingles(buf, offs, 3)
