@@ -1,12 +1,18 @@
 """The ordered command log: commands from text, idempotent requests, batches, and replay per type.
 
 Replay is declarative wherever the order of operations can be said as "newer than": the last reset of a
-key (remove or set) starts an epoch, and of a member or field the last operation within the epoch counts.
-Pops depend on all operations before them; these lists alone are folded in order, key by key.
+key (remove, set, or the first creating write after its deadline has passed) starts an epoch, and of a member or
+field the last operation within the epoch counts. Lists are running sums: how many values a pop really takes follows
+from the sizes, and those from the running minimum of pushes less pops. Only of keys that ever get a deadline
+the operations that make, end or date a key are read one after another, since whether an expire has an effect
+depends on the deadline before it; such a key's state is a few numbers, and its operations stream by.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,12 +52,70 @@ def runs(log: DataFrame, batch: str) -> DataFrame:
     return numbered.groupBy(batch, "run", "kind").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("n"))
 
 
-def epochs(log: DataFrame, resets: tuple[str, ...] = ("remove", "set")) -> DataFrame:
-    """log cut down to operations newer than the last reset of their key, resets themselves left out.
+CREATES = {"sadd": "set", "zadd": "zset", "lpush": "list", "rpush": "list", "hset": "hash"}
+STATE = "key string, reset bigint, by string, there boolean, expire_time bigint"
+
 
-    The last reset is a grouped maximum joined back; a key's operations are never gathered.
+def _dated(log: DataFrame) -> DataFrame:
+    """STATE of the keys that get a deadline somewhere in the log. An expire of a missing or expired key does nothing;
+    a creating write to an expired key resets it and takes the deadline away."""
+    seconds = F.when(F.col("op") == "set", F.get("args", F.lit(1))).otherwise(F.get("args", F.lit(0))).try_cast("bigint")
+    ops = log.where(F.col("op").isin("set", "remove", "expire", *CREATES) & F.col("key").isNotNull())
+    ops = ops.select("key", "seq", F.unix_seconds("ts").alias("t"), "op", F.when(F.col("op").isin("set", "expire"), F.coalesce(seconds, F.lit(0).cast("bigint"))).otherwise(0).alias("ttl"))
+    keys = ops.where((F.col("op") == "expire") | (F.col("ttl") > 0)).select("key").distinct()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, done = None, (None, None, False, 0), []
+        for batch in batches:
+            for k, seq, t, op, ttl in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != key:
+                    if key is not None:
+                        done.append((key, *state))
+                    key, state = k, (None, None, False, 0)
+                reset, by, there, deadline = state
+                gone = t is not None and 0 < deadline < t
+                until = t + ttl if ttl > 0 and t is not None else 0
+                if op == "set":
+                    state = (seq, op, True, until)
+                elif op == "remove":
+                    state = (seq, op, False, 0)
+                elif op != "expire":
+                    state = (seq - 1, "expired", True, 0) if gone else (reset, by, True, deadline)
+                elif there and not gone:
+                    state = (reset, by, there, until)
+            if len(done) >= 10_000:
+                yield rows(done)
+                done = []
+        if key is not None:
+            done.append((key, *state))
+        yield rows(done)
+
+    def rows(done: list[tuple]) -> pa.RecordBatch:
+        kinds = {"key": pa.string(), "reset": pa.int64(), "by": pa.string(), "there": pa.bool_(), "expire_time": pa.int64()}
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], kind) for i, kind in enumerate(kinds.values())], names=list(kinds))
+
+    some = ops.join(keys, "key", "left_semi").select("key", "seq", "t", "op", "ttl")
+    return some.repartition("key").sortWithinPartitions("key", "seq").mapInArrow(run, STATE)
+
+
+def resets(log: DataFrame) -> DataFrame:
+    """(key, reset, by, expire_time): operations with seq > reset are the key's last epoch; by is what began it (set,
+    remove, expired), both null if nothing did. Keys without any of these have no row.
+
+    The last reset is a grouped maximum; a key's operations are never gathered. A log without ts or args has no deadlines.
     """
-    last = log.where(F.col("op").isin(*resets)).groupBy("key").agg(F.max("seq").alias("_reset"))
+    last = log.where(F.col("op").isin("remove", "set")).groupBy("key").agg(F.max("seq").alias("reset"), F.max_by("op", "seq").alias("by"))
+    last = last.select("key", F.col("reset").cast("bigint").alias("reset"), "by", F.lit(0).cast("bigint").alias("expire_time"))
+    if not {"ts", "args"} <= set(log.columns):
+        return last
+    dated = _dated(log).select("key", "reset", "by", "expire_time")
+    both = last.withColumn("dated", F.lit(False)).unionByName(dated.withColumn("dated", F.lit(True)))
+    return both.groupBy("key").agg(F.max_by(F.struct("reset", "by", "expire_time"), "dated").alias("v")).select("key", "v.*")
+
+
+def epochs(log: DataFrame) -> DataFrame:
+    """log cut down to operations newer than the last reset of their key, removes and sets left out."""
+    last = resets(log).select("key", F.col("reset").alias("_reset"))
     return log.join(last, "key", "left").where(F.col("_reset").isNull() | (F.col("seq") > F.col("_reset"))).drop("_reset")
 
 
@@ -91,47 +155,45 @@ def scores(log: DataFrame) -> DataFrame:
 def lists(log: DataFrame) -> DataFrame:
     """(key, pos, value) of lists after a log of pushes and pops (pop args: count, none for one).
 
-    Where a list is only pushed, positions come from sums over its operations. A list with pops is folded over
-    its own operations since its last reset, in order, within one aggregate expression.
+    Values stand on a line: a push writes beyond an end, a pop moves an end. A list's size is the sum of pushes less
+    pops, less what pops found nothing to take, which is the least that this sum has been below 0; so each pop's real count
+    is known, and the ends are running sums of counts. What was written last on a place between the ends is there.
     """
     live = epochs(log).where(F.col("op").isin("lpush", "rpush", "lpop", "rpop", "lpop_n", "rpop_n"))
-    popped = live.where(F.col("op").like("%pop%")).select("key").distinct()
-    pushed = live.join(popped, "key", "left_anti").select("key", "seq", "op", F.posexplode("args").alias("i", "value"))
-    side = W.partitionBy("key", "op").orderBy("seq", "i")
-    n = F.row_number().over(side).cast("bigint")
-    simple = pushed.withColumn("n", n).select("key", F.when(F.col("op") == "rpush", F.col("n") - 1).otherwise(-F.col("n")).alias("pos"), "value")
-    ops = live.join(popped, "key", "left_semi").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", "op", "args"))).alias("ops"))
-    count = lambda o: F.coalesce(F.get(o["args"], F.lit(0)).try_cast("int"), F.lit(1))
-    cut = lambda a, n: F.slice(a, 1, F.greatest(F.size(a) - n, F.lit(0)))
-    step = lambda a, o: (
-        F.when(o["op"] == "rpush", F.concat(a, o["args"]))
-        .when(o["op"] == "lpush", F.concat(F.reverse(o["args"]), a))
-        .when(o["op"].startswith("l"), F.slice(a, F.least(count(o), F.size(a)) + 1, F.size(a)))
-        .otherwise(cut(a, count(o)))
-    )
-    folded = ops.select("key", F.posexplode(F.aggregate("ops", F.array().cast("array<string>"), step)).alias("pos", "value"))
-    return simple.unionByName(folded.select("key", F.col("pos").cast("bigint").alias("pos"), "value"))
-
-
-CREATES = {"sadd": "set", "zadd": "zset", "lpush": "list", "rpush": "list", "hset": "hash"}
+    push, left = F.col("op").like("%push"), F.col("op").startswith("l")
+    asked = F.greatest(F.coalesce(F.get("args", F.lit(0)).try_cast("bigint"), F.lit(1)), F.lit(0))
+    n = F.when(push, F.size("args")).otherwise(asked).cast("bigint")
+    order = W.partitionBy("key").orderBy("seq")
+    so_far = order.rowsBetween(W.unboundedPreceding, W.currentRow)
+    counts = live.select("key", "seq", push.alias("push"), left.alias("left"), n.alias("n"), F.when(push, F.col("args")).alias("args"))
+    sums = counts.withColumn("sum", F.sum(F.when(F.col("push"), F.col("n")).otherwise(-F.col("n"))).over(so_far))
+    sizes = sums.withColumn("size", F.col("sum") - F.least(F.min("sum").over(so_far), F.lit(0)))
+    taken = F.coalesce(F.lag("size").over(order), F.lit(0)) - F.col("size")
+    real = sizes.withColumn("moved", F.when(F.col("push"), F.col("n")).otherwise(-taken))
+    ends = real.withColumn("first", -F.sum(F.when(F.col("left"), F.col("moved")).otherwise(0)).over(so_far)).withColumn("end", F.sum(F.when(F.col("left"), 0).otherwise(F.col("moved"))).over(so_far))
+    last = ends.groupBy("key").agg(F.max_by(F.struct(F.col("first").alias("_first"), F.col("end").alias("_end")), "seq").alias("v")).select("key", "v.*")
+    written = ends.where("push").select("key", "seq", "left", "first", "end", "n", F.posexplode("args").alias("i", "value"))
+    place = F.when(F.col("left"), F.col("first") + F.col("n") - 1 - F.col("i")).otherwise(F.col("end") - F.col("n") + F.col("i"))
+    there = written.withColumn("pos", place).join(last, "key").where((F.col("pos") >= F.col("_first")) & (F.col("pos") < F.col("_end")))
+    return there.groupBy("key", "pos").agg(F.max_by("value", "seq").alias("value"))
 
 
 def strings(log: DataFrame) -> DataFrame:
     """(key, value) of the keys whose last reset is a set (args: value, seconds to live)."""
-    last = log.where(F.col("op").isin("remove", "set")).groupBy("key").agg(F.max_by(F.struct("op", F.get("args", F.lit(0)).alias("value")), "seq").alias("v"))
-    return last.where("v.op = 'set'").select("key", "v.value")
+    last = log.where(F.col("op") == "set").groupBy("key").agg(F.max("seq").alias("reset"), F.max_by(F.get("args", F.lit(0)), "seq").alias("value"))
+    return last.join(resets(log).where("by = 'set'").select("key"), "key", "left_semi").select("key", "value")
 
 
 def keyspace(log: DataFrame) -> DataFrame:
     """(key, vtype, expire_time) of the keys that are there after a log, expired ones included.
 
-    The first creating write of an epoch decides on the type; the last expire, or the set itself, on the deadline.
+    The first creating write of an epoch decides on the type; the last expire with an effect, or the set itself, on the
+    deadline.
     Emptied collections are still there.
     """
     kinds = F.create_map(*[F.lit(x) for pair in CREATES.items() for x in pair])
     made = epochs(log).where(F.col("op").isin(*CREATES)).groupBy("key").agg(F.min_by(F.try_element_at(kinds, F.col("op")), "seq").alias("vtype"))
-    there = made.unionByName(strings(log).select("key", F.lit("string").alias("vtype")))
-    seconds = F.when(F.col("op") == "set", F.get("args", F.lit(1))).otherwise(F.get("args", F.lit(0))).try_cast("bigint")
-    deadline = F.when(F.coalesce(seconds, F.lit(0)) > 0, F.unix_seconds("ts") + seconds).otherwise(0)
-    ends = epochs(log, ("remove",)).where(F.col("op").isin("set", "expire")).groupBy("key").agg(F.max_by(deadline, "seq").cast("bigint").alias("expire_time"))
-    return there.join(ends, "key", "left").select("key", "vtype", F.coalesce("expire_time", F.lit(0).cast("bigint")).alias("expire_time"))
+    last = resets(log)
+    typed = made.join(last.select("key", "by", "expire_time"), "key", "full")
+    vtype = F.when(F.col("by") == "set", "string").otherwise(F.col("vtype"))
+    return typed.select("key", vtype.alias("vtype"), F.coalesce("expire_time", F.lit(0).cast("bigint")).alias("expire_time")).where(F.col("vtype").isNotNull())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from datetime import UTC, datetime
 
 import pytest
 
@@ -102,6 +103,60 @@ def test_lists(spark, seed):
     assert got == {k: x for k, x in fold(ops, list, step).items() if x}
 
 
+def with_deadlines(ops):
+    """Plain state of (t, op, key, args): key -> [vtype, deadline, set of members]."""
+    state = {}
+    for t, op, key, args in ops:
+        held = state.get(key)
+        gone = held is not None and 0 < held[1] < t
+        if op == "remove":
+            state.pop(key, None)
+        elif op == "set":
+            state[key] = ["string", t + int(args[1]) if len(args) > 1 and int(args[1]) else 0, set()]
+        elif op == "expire":
+            if held is not None and not gone:
+                held[1] = t + int(args[0]) if int(args[0]) else 0
+        elif op == "sadd":
+            if held is None or gone:
+                held = state[key] = ["set", 0, set()]
+            held[2].update(args)
+        elif held is not None and not gone:
+            held[2].difference_update(args)
+    return state
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_deadlines(spark, seed):
+    r = random.Random(seed)
+    ops, t = [], 1000
+    for _ in range(500):
+        t += r.choice([0, 1, 1, 4])
+        op = r.choices(["sadd", "srem", "expire", "set", "remove"], [6, 3, 4, 1, 1])[0]
+        args = {"sadd": lambda: [f"m{r.randrange(9)}"], "srem": lambda: [f"m{r.randrange(9)}"], "expire": lambda: [str(r.choice([0, 3, 20, 60]))], "set": lambda: ["v", str(r.choice([0, 5, 40]))], "remove": list}[op]()
+        ops.append((t, op, f"k{r.randrange(8)}", args))
+    # a string isn't added to while it lives, here as in the session
+    kept = []
+    for o in ops:
+        held = with_deadlines(kept).get(o[2])
+        if o[1] not in ("sadd", "srem") or held is None or held[0] == "set" or 0 < held[1] < o[0]:
+            kept.append(o)
+    log = spark.createDataFrame([(i, datetime.fromtimestamp(t, UTC), None, op, key, args) for i, (t, op, key, args) in enumerate(kept)], OPLOG)
+    want = with_deadlines(kept)
+    assert {tuple(x) for x in P.keyspace(log).collect()} == {(k, v, e) for k, (v, e, _) in want.items()}
+    sets = {}
+    for x in P.members(log, "sadd", "srem").collect():
+        sets.setdefault(x.key, set()).add(x.member)
+    live = {k for k, (v, e, _) in want.items() if v == "set" and not 0 < e < t}
+    assert {k: s for k, s in sets.items() if k in live} == {k: want[k][2] for k in live if want[k][2]}
+
+
+def test_a_write_after_the_deadline_starts_afresh(spark):
+    ops = [(0, "sadd", ["a"]), (0, "expire", ["5"]), (60, "sadd", ["b"])]
+    log = spark.createDataFrame([(i, datetime.fromtimestamp(t, UTC), None, op, "k", args) for i, (t, op, args) in enumerate(ops)], OPLOG)
+    assert [tuple(r) for r in P.members(log, "sadd", "srem").collect()] == [("k", "b")]
+    assert [tuple(r) for r in P.keyspace(log).collect()] == [("k", "set", 0)]
+
+
 def test_parse(spark):
     df = spark.createDataFrame([(1, "ZADD  k 1 a "), (2, "frob k"), (3, ""), (4, "LLEN l")], "seq int, command string")
     rows = {r.seq: r for r in P.parse(df).collect()}
