@@ -9,7 +9,8 @@ from dataclasses import dataclass, fields
 
 @dataclass(frozen=True)
 class Settings:
-    """merge_strategy: size_tiered or leveled. zero_level_bytes * level_ratio ** level bounds a level's bytes."""
+    """merge_strategy: size_tiered or leveled. zero_level_bytes * level_ratio ** level bounds a level's bytes.
+    held_rows: log rows that a session holds before it appends them to its path."""
 
     merge_strategy: str = "size_tiered"
     merge_threshold: int = 5
@@ -17,11 +18,12 @@ class Settings:
     level_ratio: int = 10
     read_only: bool = False
     remembered_requests: int = 10_000
+    held_rows: int = 1_000
 
     def __post_init__(self) -> None:
         if self.merge_strategy not in ("size_tiered", "leveled"):
             raise ValueError(f"unknown merge strategy: {self.merge_strategy}")
-        for name in ("merge_threshold", "zero_level_bytes", "level_ratio", "remembered_requests"):
+        for name in ("merge_threshold", "zero_level_bytes", "level_ratio", "remembered_requests", "held_rows"):
             if getattr(self, name) < 1:
                 raise ValueError(f"{name} must be at least 1")
 

@@ -9,10 +9,10 @@ ends of the lists, a grouped aggregation, and a filter.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keyfold.functions.reduce import index_bounds
+from keyfold.operators.order import numbered
 
 
 def ends(lists: DataFrame) -> DataFrame:
@@ -22,8 +22,8 @@ def ends(lists: DataFrame) -> DataFrame:
 
 
 def _pushed(pushes: DataFrame, order: list[str]) -> DataFrame:
-    """pushes (key, value, order...) with n from 1. Only the new values of a key are sorted."""
-    return pushes.withColumn("n", F.row_number().over(W.partitionBy("key").orderBy(*order)).cast("bigint"))
+    """pushes (key, value, order...) with n from 1. Only new values are sorted, those of a large list by parts (see order)."""
+    return numbered(pushes, "key", order, "n").withColumn("n", F.col("n") + 1)
 
 
 def rpush(lists: DataFrame | None, pushes: DataFrame, order: list[str]) -> DataFrame:

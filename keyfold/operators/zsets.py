@@ -7,13 +7,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keyfold.functions.reduce import index_bounds, newest, six_places
+from keyfold.operators.order import numbered
 
 BY = ["key", "member"]
 
 
 def zadd(writes: DataFrame, order: list[str]) -> DataFrame:
-    """(key, member, score) after the writes: the last score of a member holds."""
-    return newest(writes, BY, order, ["score"])
+    """(key, member, score), and score_text if the writes have it, after the writes: the last score of a member holds."""
+    return newest(writes, BY, order, _scores(writes))
+
+
+def _scores(z: DataFrame) -> list[str]:
+    return [c for c in ("score", "score_text") if c in z.columns]
 
 
 def zadd_count(writes: DataFrame) -> DataFrame:
@@ -26,8 +31,8 @@ def zrem(z: DataFrame, removals: DataFrame) -> DataFrame:
 
 
 def zscore(z: DataFrame, probes: DataFrame) -> DataFrame:
-    """probes (key, member) with score, null where there is none."""
-    return probes.select(BY).join(z.select(*BY, "score"), BY, "left")
+    """probes (key, member) with score, null where there is none; with score_text, the score as it was written, if z has it."""
+    return probes.select(BY).join(z.select(*BY, *_scores(z)), BY, "left")
 
 
 def zcard(z: DataFrame) -> DataFrame:
@@ -35,40 +40,14 @@ def zcard(z: DataFrame) -> DataFrame:
 
 
 def ranked(z: DataFrame) -> DataFrame:
-    """z with rank from 0. A key's members are sorted in one task; for huge sets see
-    ranked_wide(), for the ranks of some members zrank()."""
-    return z.withColumn("rank", (F.row_number().over(W.partitionBy("key").orderBy("score", "member")) - 1).cast("bigint"))
-
-
-def ranked_wide(z: DataFrame, parts: int = 256) -> DataFrame:
-    """The same as ranked(), for sets of which one may hold much of all rows: each set is cut into parts by
-    score, evenly between its least and greatest one, and a rank is the place within the part behind the
-    sizes of the parts before. Only parts are sorted, and only the parts' sizes, pre-aggregated, meet by key.
-    """
-    spans = z.groupBy("key").agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
-    wide = F.greatest((F.col("_hi") - F.col("_lo")) / parts, F.lit(1e-300))
-    cut = F.least(F.floor((F.col("score") - F.col("_lo")) / wide), F.lit(parts - 1))
-    placed = z.join(spans, "key").withColumn("_part", cut).drop("_lo", "_hi")
-    before = W.partitionBy("key").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    sizes = placed.groupBy("key", "_part").agg(F.count("*").alias("_n"))
-    offsets = sizes.select("key", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    place = F.row_number().over(W.partitionBy("key", "_part").orderBy("score", "member")) - 1
-    return placed.withColumn("_at", place).join(offsets, ["key", "_part"]).withColumn("rank", F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+    """z with rank from 0. Large sets are sorted by parts, whatever their scores (see order)."""
+    return numbered(z, "key", ["score", "member"], "rank")
 
 
 def zrank(z: DataFrame, probes: DataFrame) -> DataFrame:
-    """(key, member, rank) of the probes that are members, by counting what stands before each: members are
-    never sorted, and counts are formed before the shuffle, so the size of a set doesn't matter. Every
-    probe is met with all members of its key."""
-    asked = z.join(probes.select(BY).distinct(), BY, "left_semi").select("key", F.col("member").alias("m"), F.col("score").alias("s"))
-    before = F.struct("score", "member") < F.struct("s", "m")
-    return z.join(asked, "key").groupBy("key", F.col("m").alias("member")).agg(F.sum(before.cast("bigint")).alias("rank"))
-
-
-def zrank_of_many(z: DataFrame, probes: DataFrame) -> DataFrame:
-    """The same as zrank(), for probes that grow with the sets: all members are ranked by parts, and probes
-    meet the rank of their own member only."""
-    return ranked_wide(z).join(probes.select(BY).distinct(), BY, "left_semi").select(*BY, "rank")
+    """(key, member, rank) of the probes that are members. Sets without a probe are not ranked."""
+    asked = probes.select(BY).distinct()
+    return ranked(z.join(asked.select("key").distinct(), "key", "left_semi")).join(asked, BY, "left_semi").select(*BY, "rank")
 
 
 def zrange_by_rank(z: DataFrame, start: int, end: int) -> DataFrame:
@@ -85,9 +64,8 @@ def zrange_by_rank(z: DataFrame, start: int, end: int) -> DataFrame:
         out = z.withColumn("_b", F.row_number().over(down)).where(F.col("_b") <= -start)
         sizes = zcard(z)
         return out.where(F.col("_b") >= -end).join(sizes, "key").withColumn("rank", F.col("card") - F.col("_b")).drop("_b", "card")
-    out = ranked(z).withColumn("_n", F.count("*").over(W.partitionBy("key")))
-    first, last = index_bounds(start, end, F.col("_n"))
-    return out.where(F.col("rank").between(first, last)).drop("_n")
+    first, last = index_bounds(start, end, F.col("card"))
+    return ranked(z).join(zcard(z), "key").where(F.col("rank").between(first, last)).drop("card")
 
 
 def zrange_by_score(z: DataFrame, low: float, high: float) -> DataFrame:

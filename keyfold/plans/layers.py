@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyfold.config import Settings
 from keyfold.functions.reduce import visible
 from keyfold.operators.keyspace import latest
 
@@ -25,6 +26,19 @@ def merge(layers: DataFrame, now: int = 0) -> DataFrame:
     return latest(layers).where(visible(now) if now else ~F.col("deleted"))
 
 
+def range_read(layers: DataFrame, start: str, end: str, now: int = 0) -> DataFrame:
+    """The visible versions of keys from start to end, both inclusive, over all layers, in byte order. The range is below
+    the merge, so it reaches each layer's files."""
+    return merge(layers.where(F.col("key").between(start, end)), now).orderBy("key")
+
+
+def compact(layers: DataFrame, settings: Settings, level: int = 0, now: int = 0) -> DataFrame:
+    """One step of the compaction that the settings ask for."""
+    if settings.merge_strategy == "leveled":
+        return compact_leveled(layers, level, now)
+    return compact_size_tiered(layers, settings.merge_threshold, now)
+
+
 def compact_size_tiered(layers: DataFrame, threshold: int = 5, now: int = 0) -> DataFrame:
     """Layers of a level that has `threshold` or more of them become one layer a level up: newest versions only.
 
@@ -58,9 +72,12 @@ def overlapping(upper: DataFrame, lower: DataFrame) -> DataFrame:
     return u.join(v, meets).select("layer", "other")
 
 
-def compact_leveled(layers: DataFrame, level: int, now: int = 0) -> DataFrame:
-    """The oldest layer of a level and the layers of the next one that it overlaps, merged into the next level."""
-    files = extents(layers)
+def compact_leveled(layers: DataFrame, level: int, now: int = 0, files: DataFrame | None = None) -> DataFrame:
+    """The oldest layer of a level and the layers of the next one that it overlaps, merged into the next level.
+
+    files: extents() as kept since the layers were written; without it all keys are read to find them.
+    """
+    files = extents(layers) if files is None else files
     oldest = files.where(F.col("level") == level).orderBy("layer").limit(1)
     chosen = oldest.select("layer").unionByName(overlapping(oldest, files).select(F.col("other").alias("layer")))
     moving = layers.join(F.broadcast(chosen), "layer", "left_semi")

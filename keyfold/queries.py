@@ -142,11 +142,11 @@ def srem_count(spark: SparkSession, d: str) -> DataFrame:
     return S.srem_count(T.supplier_parts(spark, d), _small_members(spark, d))
 
 
-@query(f"SELECT s.key, p.member, CAST(EXISTS (SELECT 1 FROM {SUP} x WHERE x.key = s.key AND x.member = p.member) AS INTEGER) AS found FROM (SELECT 'sup:' || s_suppkey AS key FROM supplier WHERE s_suppkey <= 5) s, {SMALL} p")
+@query(f"SELECT p.key, p.member, CAST(s.member IS NOT NULL AS INTEGER) AS found FROM (SELECT DISTINCT 'sup:' || l_suppkey AS key, CAST(l_partkey + 1 AS VARCHAR) AS member FROM lineitem) p LEFT JOIN {SUP} s ON s.key = p.key AND s.member = p.member")
 def sismember(spark: SparkSession, d: str) -> DataFrame:
-    some = T.table(spark, d, "supplier").where("s_suppkey <= 5").select(F.concat(F.lit("sup:"), F.col("s_suppkey").cast("string")).alias("key"))
-    small = T.table(spark, d, "part").where("p_size < 10").select(F.col("p_partkey").cast("string").alias("member"))
-    return S.sismember(T.supplier_parts(spark, d), small.crossJoin(F.broadcast(some)))  # five keys asked for every member
+    line = T.table(spark, d, "lineitem")
+    probes = line.select(F.concat(F.lit("sup:"), F.col("l_suppkey").cast("string")).alias("key"), (F.col("l_partkey") + 1).cast("string").alias("member")).distinct()
+    return S.sismember(T.supplier_parts(spark, d), probes)
 
 
 @query(f"SELECT p.key, p.member, CAST(s.member IS NOT NULL AS INTEGER) AS found FROM (SELECT 'sup:' || l_suppkey AS key, CAST(l_partkey AS VARCHAR) AS member FROM lineitem UNION SELECT 'sup:' || l_suppkey, CAST(l_partkey + 1 AS VARCHAR) FROM lineitem UNION SELECT 'sup:' || s_suppkey, CAST(s_suppkey AS VARCHAR) FROM supplier) p LEFT JOIN {SUP} s ON s.key = p.key AND s.member = p.member")
@@ -167,6 +167,25 @@ def _event_scores(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.concat(F.lit("type:"), "event_type").alias("key"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("member"), F.col("value").alias("score"), "ts", F.col("event_id").alias("seq"))
 
 
+TEXTS = "(SELECT 'type:' || event_type AS key, 'u' || user_id AS member, value AS score, CAST(CAST(value AS DECIMAL(18, 2)) AS VARCHAR) AS score_text FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1)"
+
+
+def _score_texts(spark: SparkSession, d: str) -> DataFrame:
+    return Z.zadd(_event_scores(spark, d).withColumn("score_text", F.col("score").cast("decimal(18,2)").cast("string")), ["ts", "seq"])
+
+
+@query(f"SELECT key, member, score, score_text FROM {TEXTS}")
+def zadd_score_texts(spark: SparkSession, d: str) -> DataFrame:
+    return _score_texts(spark, d)
+
+
+@query(f"SELECT 'type:' || e.event_type AS key, e.member, s.score, s.score_text FROM (SELECT DISTINCT event_type, 'u' || (user_id + 1) AS member FROM events) e LEFT JOIN {TEXTS} s ON s.key = 'type:' || e.event_type AND s.member = e.member")
+def zscore_as_written(spark: SparkSession, d: str) -> DataFrame:
+    e = T.table(spark, d, "events")
+    probes = e.select(F.concat(F.lit("type:"), "event_type").alias("key"), F.concat(F.lit("u"), (F.col("user_id") + 1).cast("string")).alias("member")).distinct()
+    return Z.zscore(_score_texts(spark, d), probes)
+
+
 @query("SELECT 'type:' || event_type AS key, count(*) AS added FROM events GROUP BY event_type")
 def zadd_count(spark: SparkSession, d: str) -> DataFrame:
     return Z.zadd_count(_event_scores(spark, d))
@@ -196,13 +215,13 @@ def zrank(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT 'all' AS key, member, score, row_number() OVER (ORDER BY score, member) - 1 AS rank FROM {SCORES}")
 def zrank_wide(spark: SparkSession, d: str) -> DataFrame:
-    return Z.ranked_wide(T.customer_scores(spark, d).withColumn("key", F.lit("all")))
+    return Z.ranked(T.customer_scores(spark, d).withColumn("key", F.lit("all")))
 
 
-@query(f"SELECT key, member, rank FROM {RANKED} WHERE member LIKE '%00'")
+@query(f"SELECT key, member, rank FROM {RANKED}")
 def zrank_of_members(spark: SparkSession, d: str) -> DataFrame:
     z = T.customer_scores(spark, d)
-    return Z.zrank(z, z.where("member like '%00'"))
+    return Z.zrank(z, z)
 
 
 @query(f"SELECT key, member, rank FROM {RANKED}")
@@ -210,7 +229,7 @@ def zrank_of_every_member(spark: SparkSession, d: str) -> DataFrame:
     c = T.table(spark, d, "customer")
     ids = F.array(F.col("c_custkey"), F.col("c_custkey") + 1)  # each member, and mostly one of another key
     probes = c.select(F.concat(F.lit("nation:"), F.col("c_nationkey").cast("string")).alias("key"), F.explode(F.transform(ids, lambda i: F.concat(F.lit("c"), i.cast("string")))).alias("member"))
-    return Z.zrank_of_many(T.customer_scores(spark, d), probes)
+    return Z.zrank(T.customer_scores(spark, d), probes)
 
 
 @query(f"SELECT key, member, score, rank FROM {RANKED} WHERE rank BETWEEN 0 AND 4")
@@ -398,6 +417,11 @@ def layer_merge(spark: SparkSession, d: str) -> DataFrame:
     return Y.merge(_layers(spark, d).drop("layer", "level")).select("key", "value", "seq")
 
 
+@query(f"SELECT key, value, seq FROM {LAST} WHERE NOT deleted AND key BETWEEN 'user:2' AND 'user:5'")
+def layer_range(spark: SparkSession, d: str) -> DataFrame:
+    return Y.range_read(_layers(spark, d).drop("layer", "level"), "user:2", "user:5").select("key", "value", "seq")
+
+
 LAYERED = f"(SELECT *, CAST(CAST(floor(floor(epoch(ts)) / 86400) AS BIGINT) % 7 AS INTEGER) AS layer, CASE WHEN CAST(floor(floor(epoch(ts)) / 86400) AS BIGINT) % 7 = 0 THEN 1 ELSE 0 END AS level FROM {EVENTS})"
 
 
@@ -487,6 +511,83 @@ def replay_hashes(spark: SparkSession, d: str) -> DataFrame:
     return P.fields(e.select(F.col("event_id").alias("seq"), op.alias("op"), F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("key"), args.alias("args")))
 
 
+def _event_log(spark: SparkSession, d: str, ops: dict[str, str], args) -> DataFrame:
+    """events as a log on `user:<id>`: the operation of each kind of event, the arguments from args."""
+    e = T.table(spark, d, "events")
+    op = F.create_map(*[F.lit(x) for pair in ops.items() for x in pair])[F.col("event_type")]
+    return e.select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.lit(None).cast("string").alias("request_id"), op.alias("op"), F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("key"), args.alias("args"))
+
+
+RESET = "SELECT user_id, max(event_id) AS r FROM events WHERE event_type = 'error' GROUP BY user_id"
+
+
+@query(
+    f"WITH r AS ({RESET}), l AS (SELECT e.user_id, event_id % 7 AS m, event_type, value, row_number() OVER (PARTITION BY e.user_id, event_id % 7 ORDER BY event_id DESC) AS rn FROM events e LEFT JOIN r ON r.user_id = e.user_id WHERE event_type <> 'error' AND event_id > coalesce(r, -1)) "
+    "SELECT 'user:' || user_id AS key, 'm' || m AS member, CAST(CAST(value AS DECIMAL(18, 2)) AS DOUBLE) AS score, CAST(CAST(value AS DECIMAL(18, 2)) AS VARCHAR) AS score_text FROM l WHERE rn = 1 AND event_type <> 'purchase'"
+)
+def replay_zsets(spark: SparkSession, d: str) -> DataFrame:
+    member = F.concat(F.lit("m"), (F.col("event_id") % 7).cast("string"))
+    args = F.when(F.col("event_type") == "purchase", F.array(member)).otherwise(F.array(F.col("value").cast("decimal(18,2)").cast("string"), member))
+    return P.scores(_event_log(spark, d, {"view": "zadd", "click": "zadd", "signup": "zadd", "purchase": "zrem", "error": "remove"}, args))
+
+
+@query(
+    f"WITH r AS ({RESET}), l AS (SELECT e.user_id, event_id, event_type FROM events e LEFT JOIN r ON r.user_id = e.user_id WHERE event_type IN ('view', 'click', 'signup') AND event_id > coalesce(r, -1)), "
+    "n AS (SELECT user_id, event_id, event_type = 'signup' AS front, row_number() OVER (PARTITION BY user_id, event_type = 'signup' ORDER BY event_id) AS n FROM l) "
+    "SELECT 'user:' || user_id AS key, CASE WHEN front THEN -n ELSE n - 1 END AS pos, CAST(event_id AS VARCHAR) AS value FROM n"
+)
+def replay_lists(spark: SparkSession, d: str) -> DataFrame:
+    args = F.array(F.col("event_id").cast("string"))
+    return P.lists(_event_log(spark, d, {"view": "rpush", "click": "rpush", "signup": "lpush", "purchase": "lsize", "error": "remove"}, args))
+
+
+@query(
+    "WITH o AS (SELECT user_id, event_id, event_type IN ('view', 'click', 'signup') AS push, event_type = 'error' AS reset FROM events WHERE event_type IN ('view', 'click', 'signup', 'purchase', 'error')), "
+    f"l AS (SELECT o.* FROM o LEFT JOIN ({RESET}) r ON r.user_id = o.user_id WHERE NOT reset AND event_id > coalesce(r, -1)), "
+    "s AS (SELECT *, sum(CASE WHEN push THEN 1 ELSE -1 END) OVER w AS s FROM l WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), "
+    "m AS (SELECT *, s - least(min(s) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS size FROM s), "
+    "z AS (SELECT user_id, arg_max(size, event_id) AS size FROM m GROUP BY user_id), "
+    "p AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS back FROM l WHERE push) "
+    "SELECT 'user:' || p.user_id AS key, CAST(p.event_id AS VARCHAR) AS value FROM p JOIN z ON z.user_id = p.user_id WHERE back <= size"
+)
+def replay_queues(spark: SparkSession, d: str) -> DataFrame:
+    """Lists pushed at the back and popped from the front: what is left are the last ones pushed."""
+    args = F.when(F.col("event_type") == "purchase", F.array().cast("array<string>")).otherwise(F.array(F.col("event_id").cast("string")))
+    return P.lists(_event_log(spark, d, {"view": "rpush", "click": "rpush", "signup": "rpush", "purchase": "lpop", "error": "remove"}, args)).select("key", "value")
+
+
+@query(f"SELECT key, value FROM (SELECT 'user:' || user_id AS key, CAST(event_id AS VARCHAR) AS value, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events WHERE event_type IN ('signup', 'error')) WHERE rn = 1 AND event_type = 'signup'")
+def replay_strings(spark: SparkSession, d: str) -> DataFrame:
+    args = F.array(F.col("event_id").cast("string"))
+    return P.strings(_event_log(spark, d, {"view": "get", "click": "get", "signup": "set", "purchase": "get", "error": "remove"}, args))
+
+
+@query(
+    f"WITH r AS ({RESET}), l AS (SELECT e.user_id, event_id, event_type FROM events e LEFT JOIN r ON r.user_id = e.user_id WHERE event_type IN ('view', 'click', 'purchase') AND event_id > coalesce(r, -1)) "
+    "SELECT 'user:' || user_id AS key, CASE arg_min(event_type, event_id) WHEN 'view' THEN 'set' WHEN 'click' THEN 'zset' ELSE 'hash' END AS vtype, CAST(0 AS BIGINT) AS expire_time FROM l GROUP BY user_id"
+)
+def replay_keyspace(spark: SparkSession, d: str) -> DataFrame:
+    args = F.array(F.lit("1"), F.lit("m"))
+    return P.keyspace(_event_log(spark, d, {"view": "sadd", "click": "zadd", "signup": "srem", "purchase": "hset", "error": "remove"}, args))
+
+
+@query(
+    "WITH RECURSIVE o AS (SELECT user_id, event_id, event_type AS op, CAST(floor(epoch(ts)) AS BIGINT) AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events WHERE event_type <> 'purchase'), "
+    "f AS (SELECT user_id, CAST(0 AS BIGINT) AS i, false AS there, CAST(0 AS BIGINT) AS deadline, CAST(-1 AS BIGINT) AS since FROM (SELECT DISTINCT user_id FROM o) "
+    "UNION ALL SELECT o.user_id, o.i, CASE WHEN op = 'error' THEN false WHEN op = 'signup' THEN there ELSE true END, "
+    "CASE WHEN op = 'error' THEN 0 WHEN op = 'signup' THEN CASE WHEN there AND NOT (deadline > 0 AND t > deadline) THEN t + 86400 ELSE deadline END WHEN deadline > 0 AND t > deadline THEN 0 ELSE deadline END, "
+    "CASE WHEN op = 'error' THEN event_id WHEN op <> 'signup' AND deadline > 0 AND t > deadline THEN event_id - 1 ELSE since END FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1), "
+    "z AS (SELECT user_id, arg_max(there, i) AS there, arg_max(deadline, i) AS deadline, arg_max(since, i) AS since FROM f GROUP BY user_id) "
+    "SELECT DISTINCT 'user:' || e.user_id AS key, 'm' || (event_id % 7) AS member, deadline AS expire_time FROM events e JOIN z ON z.user_id = e.user_id WHERE there AND event_type IN ('view', 'click') AND event_id > since"
+)
+def replay_ttl(spark: SparkSession, d: str) -> DataFrame:
+    """Sets with deadlines a day ahead of each signup: what is written after one has passed starts afresh."""
+    member = F.concat(F.lit("m"), (F.col("event_id") % 7).cast("string"))
+    args = F.when(F.col("event_type") == "signup", F.array(F.lit("86400"))).otherwise(F.array(member))
+    log = _event_log(spark, d, {"view": "sadd", "click": "sadd", "signup": "expire", "purchase": "smembers", "error": "remove"}, args)
+    return P.members(log, "sadd", "srem").join(P.keyspace(log).select("key", "expire_time"), "key")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in FOUND.items()}
 

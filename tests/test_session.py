@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import pytest
 
+from keyfold.config import Settings
 from keyfold.schema import ERROR, SUCCESS
 from keyfold.session import Session
 from keyfold.sources.tables import read_log
@@ -31,7 +32,9 @@ def test_golden_trace(spark):
     "before,text,error",
     [
         ("set a v", "sadd a m", "value is not a set"), ("sadd a m", "zadd a 1 m", "value is not a zset"), ("", "frob x", "unknown operation type: frob"), ("", "", "unknown operation type: "), ("", "get", "missing key"),
-        ("", "set a", "missing argument"), ("", "get a b", "too many arguments"), ("", "zadd a 1 m 2", "wrong number of arguments for 'zadd' command"), ("", "hset a f", "missing argument"), ("", "zscore a m", "not found"),
+        ("", "set a", "missing arguments"), ("", "set", "missing arguments"), ("", "get a b", "too many arguments"), ("", "zadd a 1 m 2", "wrong number of arguments for 'zadd' command"), ("", "zadd a", "wrong number of arguments for 'zadd' command"), ("", "hset a f", "wrong number of arguments for 'hset' command"), ("", "hset a", "wrong number of arguments for 'hset' command"),
+        ("", "remove", "missing key"), ("", "keys a b", "too many arguments"), ("", "exists a b", "too many arguments"), ("", "range a", "missing key"), ("", "range a b c", "too many arguments"), ("", "expire a", "missing key"), ("", "expire a 1 2", "too many arguments"), ("", "sadd s", "missing member"), ("", "srem s", "missing member"), ("", "sismember s", "missing member"), ("", "zrem z", "missing member"), ("", "zscore z", "missing member"), ("", "zrank z", "missing member"),
+        ("", "zincr_by z 1", "missing increment or member"), ("", "zrange_by_rank z 1", "missing start or end"), ("", "zrem_by_rank z", "missing start or end"), ("", "zrange_by_score z 1", "missing min or max"), ("", "zrem_by_score z", "missing min or max"), ("", "lpush l", "missing value"), ("", "rpush l", "missing value"), ("", "lrange l 0", "missing start/end"), ("", "lget l", "missing index"), ("", "lpop_n l", "missing count"), ("", "rpop_n l", "missing count"), ("", "hget h", "missing field"), ("", "hdel h", "missing field"), ("", "hget h f", "not found"), ("", "lget l 3", "not found"), ("", "zrank z m", "not found"), ("", "rpop l", "empty"), ("", "zscore a m", "not found"),
         ("", "lpop a", "empty"), ("", "expire a 5", "key not found"), ("", "zincr_by a 1 m", "key not be found"), ("", "zadd a x m", "could not convert string to float: 'x'"), ("", "get_master", "not offered here: Spark runs the cluster"),
     ],
 )
@@ -66,6 +69,9 @@ def test_requests_are_answered_once_and_batches_lose_nothing(spark):
     assert s.execute("rpush l a", "r1") == s.execute("rpush l a", "r1")
     out = s.execute_batch([("1", "rpush l b"), ("2", "lsize l"), ("3", "frob"), ("4", "rpush l c"), ("1", "rpush l b"), (None, "lrange l 0 -1")])
     assert [r.code for r in out] == [1, 1, 0, 1, 1, 1] and out[-1].data == ["a", "b", "c"]
+    before = s.execute("lsize l", "r2").data
+    s.execute("rpush l d", "r3")
+    assert s.execute("lsize l", "r2").data == before + 1  # a read is no stored answer
     assert Session(spark, read_only=True).execute("set a b").error == "read only"
 
 
@@ -74,6 +80,19 @@ def test_own_commands_and_logs(spark, tmp_path):
     s.register("double", lambda session, args: session.execute(f"rpush {args[0]} {args[1]} {args[1]}").data)
     assert s.execute("DOUBLE l x").data == 2
     s.execute("set k v")
+    s.execute("rpush l z", "r7")
     s.flush(str(tmp_path / "log"))
+    s.flush(str(tmp_path / "log"))
+    log = read_log(spark, str(tmp_path / "log"))
+    assert log.count() == 3 == log.select("seq").distinct().count() and log.where("request_id = 'r7'").count() == 1 and s.execute("lsize l").data == 3
     again = Session(spark, read_log(spark, str(tmp_path / "log")))
-    assert again.execute("get k").data == "v" and again.execute("rpush l y").data == 3 and again.seq == 3
+    assert again.execute("get k").data == "v" and again.execute("rpush l y").data == 4 and again.seq == 4
+
+
+def test_a_session_with_a_path_holds_few_rows(spark, tmp_path):
+    s = Session(spark, settings=Settings(held_rows=2, remembered_requests=1), path=str(tmp_path / "log"))
+    for i in range(5):
+        s.execute(f"set k{i} v", f"r{i}")
+    assert len(s.rows) == 1 and read_log(spark, str(tmp_path / "log")).count() == 4 and list(s.answers) == ["r4"]
+    assert s.execute("keys").data == [f"k{i}" for i in range(5)]
+    assert Session(spark, settings=Settings(read_only=True)).execute("set a b").error == "read only"
