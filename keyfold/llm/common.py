@@ -64,6 +64,16 @@ def forget(*tables: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as no column has, in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def shuffle_width(df: DataFrame, bytes_each: int = 1 << 27) -> int:
     """Partitions for a shuffle by hand of about as much as df: the session's number, or more where that would leave
     over bytes_each to a partition, by Spark's own estimate of df's size (over 10 PB: it has none)."""

@@ -23,7 +23,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyfold.llm.common import only, table, written
+from keyfold.llm.common import only, table, unused, written
 
 #: Labelled documents the classifier is fitted on, at most about; hashed features; regularisation.
 SAMPLE, FEATURES, REG = 20_000, 1 << 17, 1e-4
@@ -51,10 +51,11 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.concat(plain, starts, ends, measures))
 
 
-def features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with _features, a sparse vector of which hashed tokens the text has."""
-    tf = HashingTF(numFeatures=FEATURES, binary=True, inputCol="_tokens", outputCol="_features")
-    return tf.transform(docs.withColumn("_tokens", tokens(F.col(f"`{text}`")))).drop("_tokens")
+def features(docs: DataFrame, text: str = "text", name: str = "_features") -> DataFrame:
+    """docs with a sparse vector of which hashed tokens the text has."""
+    held, name = unused(docs.columns, "_tokens", name)
+    tf = HashingTF(numFeatures=FEATURES, binary=True, inputCol=held, outputCol=name)
+    return tf.transform(docs.withColumn(held, tokens(F.col(f"`{text}`")))).drop(held)
 
 
 def labelled(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -79,9 +80,10 @@ def evidence(docs: DataFrame, model: LogisticRegressionModel | None, text: str =
     """docs with doc_logit, the classifier's log odds of good."""
     if model is None:
         return docs.withColumn("doc_logit", F.lit(0.0))
-    raw = model.setFeaturesCol("_features").setRawPredictionCol("_raw").setProbabilityCol("").setPredictionCol("")
-    scored = raw.transform(features(docs.drop("doc_logit"), text))
-    return scored.withColumn("doc_logit", F.get(vector_to_array("_raw"), F.lit(1))).drop("_raw", "_features")
+    docs = docs.drop("doc_logit")
+    vector, raw = unused(docs.columns, "_features", "_raw")
+    scored = model.setFeaturesCol(vector).setRawPredictionCol(raw).setProbabilityCol("").setPredictionCol("").transform(features(docs, text, vector))
+    return scored.withColumn("doc_logit", F.get(vector_to_array(raw), F.lit(1))).drop(raw, vector)
 
 
 def sigmoid(x: Column) -> Column:
@@ -123,14 +125,16 @@ def sites(scored: DataFrame, host: str, path: str) -> DataFrame:
 def classify(docs: DataFrame, model: LogisticRegressionModel | None, by_site: DataFrame, host: str = "source", path: str = "lang", text: str = "text") -> DataFrame:
     """docs with doc_logit, host_posterior, path_posterior, score (log odds of good) and kept (score >= 0)."""
     d = docs if "doc_logit" in docs.columns else evidence(docs, model, text)
-    p = sigmoid(F.col("doc_logit"))
-    joined = d.join(by_site, F.col(host).eqNullSafe(F.col("_host")) & F.col(path).eqNullSafe(F.col("_path")))
-    overall = F.col("s_all") / F.col("n_all")
-    host_post = (F.col("s_host") - p + F.col("m_host") * overall) / (F.col("n_host") - 1 + F.col("m_host"))
-    path_post = (F.col("s_path") - p + F.col("m_path") * F.col("host_posterior")) / (F.col("n_path") - 1 + F.col("m_path"))
+    d = d.drop("host_posterior", "path_posterior", "score", "kept")
+    of = dict(zip(by_site.columns, unused(d.columns, *(f"_{c.lstrip('_')}" for c in by_site.columns)), strict=True))
+    joined = d.join(by_site.withColumnsRenamed(of), F.col(f"`{host}`").eqNullSafe(F.col(of["_host"])) & F.col(f"`{path}`").eqNullSafe(F.col(of["_path"])))
+    site = lambda c: F.col(of[c])
+    p, overall = sigmoid(F.col("doc_logit")), site("s_all") / site("n_all")
+    host_post = (site("s_host") - p + site("m_host") * overall) / (site("n_host") - 1 + site("m_host"))
+    path_post = (site("s_path") - p + site("m_path") * F.col("host_posterior")) / (site("n_path") - 1 + site("m_path"))
     out = joined.withColumn("host_posterior", host_post).withColumn("path_posterior", path_post)
     out = out.withColumn("score", F.col("doc_logit") + SITE_WEIGHT * (log_odds(F.col("path_posterior")) - log_odds(overall)))
-    return out.withColumn("kept", F.col("score") >= 0).drop(*by_site.columns)
+    return out.withColumn("kept", F.col("score") >= 0).drop(*of.values())
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

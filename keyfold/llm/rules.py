@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyfold.llm.common import only, table
+from keyfold.llm.common import only, table, unused
 
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -53,17 +53,18 @@ def clean_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with clean_text (the good lines), n_lines, n_lines_removed and kept_share (of the characters in lines)."""
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     lines = F.filter(F.split(t, "\n"), has_word)
-    out = docs.withColumn("_lines", lines).withColumn("_good", F.filter("_lines", lambda x: ~line_fails(x)))
+    all_lines, good = unused(docs.columns, "_lines", "_good")
+    out = docs.withColumn(all_lines, lines).withColumn(good, F.filter(all_lines, lambda x: ~line_fails(x)))
     chars = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + F.length(x))
-    total = chars("_lines")
+    total = chars(all_lines)
     return out.withColumns(
         {
-            "clean_text": F.array_join("_good", "\n"),
-            "n_lines": F.size("_lines").cast("bigint"),
-            "n_lines_removed": (F.size("_lines") - F.size("_good")).cast("bigint"),
-            "kept_share": F.when(total > 0, chars("_good") / total).otherwise(0.0),
+            "clean_text": F.array_join(good, "\n"),
+            "n_lines": F.size(all_lines).cast("bigint"),
+            "n_lines_removed": (F.size(all_lines) - F.size(good)).cast("bigint"),
+            "kept_share": F.when(total > 0, chars(good) / total).otherwise(0.0),
         }
-    ).drop("_lines", "_good")
+    ).drop(all_lines, good)
 
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -73,22 +74,23 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     the repeated ones, and the words that their starts cover are counted from the starts in order.
     """
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    out = docs.withColumn("_w", F.filter(F.split(t, SPACES), lambda x: x != "")).withColumn("_l", F.filter(F.split(t, "\n"), has_word))
-    n = F.size("_w")
-    window = lambda i: F.struct(F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)).alias("h"), i.alias("i"))
-    out = out.withColumn("_s", F.sort_array(F.when(n >= 3, F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), window)).otherwise(F.array())))
-    same = lambda k, x: F.coalesce(F.get("_s", k).getField("h") == x.getField("h"), F.lit(False))
-    out = out.withColumn("_d", F.sort_array(F.transform(F.filter("_s", lambda x, k: same(k - 1, x) | same(k + 1, x)), lambda x: x.getField("i"))))
-    covered = F.aggregate(F.transform("_d", lambda x, k: F.least(F.coalesce(F.get("_d", k + 1) - x, F.lit(3)), F.lit(3))), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    words, lines, sorted_, starts = unused(docs.columns, "_w", "_l", "_s", "_d")
+    out = docs.withColumn(words, F.filter(F.split(t, SPACES), lambda x: x != "")).withColumn(lines, F.filter(F.split(t, "\n"), has_word))
+    n = F.size(words)
+    window = lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i"))
+    out = out.withColumn(sorted_, F.sort_array(F.when(n >= 3, F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), window)).otherwise(F.array())))
+    same = lambda k, x: F.coalesce(F.get(sorted_, k).getField("h") == x.getField("h"), F.lit(False))
+    out = out.withColumn(starts, F.sort_array(F.transform(F.filter(sorted_, lambda x, k: same(k - 1, x) | same(k + 1, x)), lambda x: x.getField("i"))))
+    covered = F.aggregate(F.transform(starts, lambda x, k: F.least(F.coalesce(F.get(starts, k + 1) - x, F.lit(3)), F.lit(3))), F.lit(0).cast("bigint"), lambda a, x: a + x)
     return out.withColumns(
         {
             "n_words": n.cast("bigint"),
             "word_chars": F.length(F.regexp_replace(t, SPACES, "")).cast("bigint"),
             "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("bigint"),
-            "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("bigint"),
+            "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint"),
             "n_repeat_words": covered,
         }
-    ).drop("_w", "_l", "_s", "_d")
+    ).drop(words, lines, sorted_, starts)
 
 
 def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:

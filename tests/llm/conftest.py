@@ -42,6 +42,6 @@ def clashing(odd):
     from pyspark.sql import functions as F
 
     out = odd
-    for c in ("kept", "score", "n_words", "ids", "decoded", "size", "copies", "d", "k", "h", "row", "_row", "spans", "node", "component_id", "doc_logit", "target", "rate"):
+    for c in ("kept", "score", "n_words", "ids", "decoded", "size", "copies", "d", "k", "h", "row", "_row", "spans", "node", "component_id", "doc_logit", "target", "rate", "_gone", "_gone0", "_features", "_tokens", "_raw", "n_host", "_host", "s_all", "_w", "_lines", "_text", "fixed", "multiplier", "scale", "block", "row_", "_node"):
         out = out.withColumn(c, F.lit(f"own {c}"))
     return out

@@ -52,9 +52,11 @@ def test_odd_documents(request, spark, table):
 
 
 def test_rows_that_repeat_an_id(spark, odd):
-    left = C.near_dedup(spark, odd.where("doc_id = 15 or doc_id = 8 or doc_id is null"), SF)
+    """Rows of one id and text are one; rows of one id and other texts are documents of their own; no id, no duplicate."""
+    left = C.near_dedup(spark, odd.where("doc_id in (6, 7, 8, 15) or doc_id is null"), SF)
+    assert left.columns == odd.columns
     ids = [r.doc_id for r in left.collect()]
-    assert ids.count(15) == 1 and ids.count(8) == 1 and ids.count(None) == 2
+    assert ids.count(15) == 2 and ids.count(8) == 1 and ids.count(None) == 2 and 6 in ids and 7 not in ids
 
 
 def test_run(spark):

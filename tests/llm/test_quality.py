@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -26,22 +27,49 @@ def test_held_out_accuracy(spark, tables):
     assert n > 900 and m > 150 and right > 0.97 and clean > 0.98
 
 
-def test_site_posteriors_by_hand(spark):
-    rows = [(i, "h1" if i < 60 else "h2", f"p{i % 2}", 2.0 if i < 60 else -2.0) for i in range(90)] + [(90, "h3", None, -2.0), (91, None, None, 2.0)]
+def brute(rows):
+    """rows (id, host, path, logit) -> {id: (host posterior, path posterior, score)}, in plain Python throughout."""
+    p = {i: 1 / (1 + math.exp(-x)) for i, _, _, x in rows}
+    host, path = {}, {}
+    for i, h, q, _ in rows:
+        host.setdefault(h, []).append(p[i])
+        path.setdefault((h, q), []).append(p[i])
+    mean = lambda x: sum(x) / len(x)
+    overall = mean(list(p.values()))
+
+    def strength(groups):
+        """groups: (values, mean of the parent)."""
+        some = [(len(v), mean(v), m) for v, m in groups if len(v) > 1]
+        total = sum(n for n, _, _ in some)
+        if not total:
+            return quality.STRONGEST
+        spread = sum(n * (m - up) ** 2 for n, m, up in some) / total
+        noise = sum(up * (1 - up) for _, _, up in some) / total
+        inner = sum(n * up * (1 - up) for n, _, up in some) / total
+        return max(min(inner / max(spread - noise, 1e-9) - 1, quality.STRONGEST), quality.WEAKEST)
+
+    m_host, m_path = strength([(v, overall) for v in host.values()]), strength([(v, mean(host[h])) for (h, _), v in path.items()])
+    odds = lambda x: math.log(x / (1 - x))
+    out = {}
+    for i, h, q, x in rows:
+        a = (sum(host[h]) - p[i] + m_host * overall) / (len(host[h]) - 1 + m_host)
+        b = (sum(path[h, q]) - p[i] + m_path * a) / (len(path[h, q]) - 1 + m_path)
+        out[i] = (a, b, x + quality.SITE_WEIGHT * (odds(b) - odds(overall)))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_posteriors_and_scores_against_brute_force(spark, seed):
+    r = random.Random(seed)
+    level = {h: r.uniform(-3, 3) for h in ("h1", "h2", "h3", None)}
+    rows = [(i, h, q, level[h] + r.gauss(0, 1) + (q == "p1")) for i in range(300) for h, q in [(r.choices(list(level), [9, 3, 1, 1])[0], r.choice(["p0", "p1", None]))]]
+    rows += [(300, "alone", "p0", -2.0)]
     df = spark.createDataFrame(rows, "doc_id bigint, source string, lang string, doc_logit double")
-    sites = quality.sites(df, "source", "lang")
-    out = {r.doc_id: r for r in quality.classify(df, None, sites).collect()}
-    s = {(r._host, r._path): r for r in sites.collect()}
-    assert len(out) == 92 and len(s) == 6
-    one = s["h1", "p0"]
-    p = 1 / (1 + math.exp(-2.0))
-    overall = one.s_all / one.n_all
-    host = (one.s_host - p + one.m_host * overall) / (one.n_host - 1 + one.m_host)
-    path = (one.s_path - p + one.m_path * host) / (one.n_path - 1 + one.m_path)
-    assert math.isclose(out[0].host_posterior, host) and math.isclose(out[0].path_posterior, path)
-    assert out[0].score > 2.0 > 0 > -2.0 > out[60].score
-    # a site of one document says nothing of its own: it gets the global mean
-    assert math.isclose(out[90].path_posterior, overall, rel_tol=1e-6) and math.isclose(out[90].score, -2.0, abs_tol=1e-5)
+    want = brute(rows)
+    got = {x.doc_id: (x.host_posterior, x.path_posterior, x.score, x.kept) for x in quality.classify(df, None, quality.sites(df, "source", "lang")).collect()}
+    assert got.keys() == want.keys()
+    for i, (a, b, score) in want.items():
+        assert all(math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9) for x, y in zip(got[i], (a, b, score), strict=False)) and got[i][3] == (got[i][2] >= 0)
 
 
 def test_odd_documents(spark, odd, clashing, nothing):
@@ -51,6 +79,7 @@ def test_odd_documents(spark, odd, clashing, nothing):
     out = quality.classify(scored, model, quality.sites(scored, "source", "lang"))
     assert out.count() == odd.count() and set(clashing.columns) <= set(out.columns)
     assert out.where("score is null or isnan(score)").count() == 0
+    assert {tuple(r) for r in out.select("n_host", "_features", "_host", "s_all").distinct().collect()} == {("own n_host", "own _features", "own _host", "own s_all")}
     assert quality.classify(quality.evidence(nothing, model), model, quality.sites(quality.evidence(nothing, model), "source", "lang")).count() == 0
 
 

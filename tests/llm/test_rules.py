@@ -24,6 +24,7 @@ def brute(text):
 def test_odd_documents(clashing):
     out = rules.quality_rules(clashing)
     assert set(clashing.columns) <= set(out.columns)
+    assert {tuple(r) for r in out.select("_w", "_lines").distinct().collect()} == {("own _w", "own _lines")}
     got = Counter((r.doc_id, *(r[c] for c in BASE)) for r in out.collect())
     assert got == Counter((r[0], *brute(r[1])) for r in odd_rows())
     for r in out.collect():
