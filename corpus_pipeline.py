@@ -10,11 +10,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from keyfold.llm import bpe, lempel, mixing, near, quality
-from keyfold.llm.common import table, written
+from keyfold.llm.common import table, unused, written
 
 #: The mix and the tokens depend on models fitted here and on copies; SQL can't express the stages.
 ORACLE_SQL = None
@@ -23,24 +22,34 @@ ORACLE_SQL = None
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the classifier with its site priors takes for good."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    key = [F.col(c).cast("string").alias(c) for c in ("doc_id", "source", "lang")] + [F.xxhash64(F.col("text").cast("string")).alias("_text")]
+    text = F.col("text").cast("string")
+    key = {"doc_id": F.col("doc_id").cast("string"), "source": F.col("source").cast("string"), "lang": F.col("lang").cast("string"), "hash": F.xxhash64(text)}
     # the evidence is written once; rows equal in these four have equal scores
-    slim = written(quality.evidence(docs.select(*key, F.col("text").cast("string").alias("text")), model).select("doc_id", "source", "lang", "_text", "doc_logit"), "evidence")
+    slim = written(quality.evidence(docs.select(*[c.alias(n) for n, c in key.items()], text.alias("text")), model).select(*key, "doc_logit"), "evidence")
     bad = quality.classify(slim, model, quality.sites(slim, "source", "lang")).where(~F.col("kept"))
-    gone = bad.select(*[F.col(c).alias(f"_gone{i}") for i, c in enumerate(("doc_id", "source", "lang", "_text"))]).distinct()
-    same = [c.eqNullSafe(F.col(f"_gone{i}")) for i, c in enumerate([F.col("doc_id").cast("string"), F.col("source").cast("string"), F.col("lang").cast("string"), F.xxhash64(F.col("text").cast("string"))])]
+    names = dict(zip(key, unused(docs.columns, *(f"_{n}" for n in key)), strict=True))
+    gone = bad.select(*[F.col(n).alias(name) for n, name in names.items()]).distinct()
+    same = [c.eqNullSafe(F.col(names[n])) for n, c in key.items()]
     return docs.join(gone, same[0] & same[1] & same[2] & same[3], "left_anti")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates: five-word shingles, similarity of 0.8 or more."""
-    found = written(near.near_duplicates(docs), "near")
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti")
-    if found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").isEmpty():
-        return left
-    nth = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))  # rows that repeat a doc_id
-    return left.select(F.struct("*").alias("_row"), nth.alias("_nth"), F.col("doc_id").isNull().alias("_free")).where("_free or _nth = 1").select("_row.*")
+    """Keeps one document of each group of near duplicates: five-word shingles, similarity of 0.8 or more.
+
+    The one with the smallest doc_id stays. Rows of one doc_id and one text are one document, of which one row stays;
+    rows that have a doc_id in common but not the text are documents of their own.
+    """
+    ids = F.col("doc_id").cast("bigint")
+    (node,) = unused(docs.columns, "_node")
+    if docs.where(ids.isNotNull()).groupBy(ids).count().where("count > 1").isEmpty():
+        gone = near.near_duplicates(docs.select("doc_id", "text")).where(~F.col("kept")).select(F.col("doc_id").alias(node)).distinct()
+        return docs.join(gone, ids == F.col(node), "left_anti")
+    named = docs.withColumn(node, F.when(ids.isNotNull(), F.xxhash64(ids, F.col("text").cast("string"))))
+    found = near.near_duplicates(named.select(F.col(node).alias("doc_id"), "text")).select(F.col("doc_id").alias("n"), "component_id").distinct()
+    whole = named.where(ids.isNotNull()).select(F.col(node).alias("n"), ids.alias("id")).distinct().join(found, "n")
+    stay = whole.groupBy("component_id").agg(F.min_by("n", F.struct("id", "n")).alias("n")).select(F.col("n").alias(node))
+    left = named.where(ids.isNotNull()).join(stay, node, "left_semi").dropDuplicates([node])
+    return left.select(docs.columns).unionByName(docs.where(ids.isNull()))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
