@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from keyfold.operators import keyspace as K
 from keyfold.plans import layers as Y
 from keyfold.sources.tables import write_sorted
@@ -58,17 +60,21 @@ def test_snapshots(spark, tmp_path):
     assert "GreaterThanOrEqual(key,k03)" in plan and "LessThanOrEqual(key,k05)" in plan
 
 
-def test_stream_of_batches_is_the_batch(spark, tmp_path):
+@pytest.mark.parametrize("every", [2, 16])
+def test_stream_of_batches_is_the_batch(spark, tmp_path, every):
     df, rows = versions(spark)
     source, state, mark = (str(tmp_path / n) for n in ("in", "state", "mark"))
     shuffled = list(range(6))
     random.Random(1).shuffle(shuffled)
     for i in shuffled:  # late batches lose against newer versions
         df.where(f"seq div 50 = {i}").coalesce(1).write.mode("append").parquet(source)
-        q = A.keep_latest(spark.readStream.schema(SCHEMA).parquet(source), state, mark)
+        q = A.keep_latest(spark.readStream.schema(SCHEMA).parquet(source), state, mark, every=every)
         q.awaitTermination()
     assert pairs(A.state(spark, state)) == live(rows)
-    A.merge_batch(state)(df.limit(0), 99)
+    A.merge_batch(state, every)(df.limit(0), 98)
+    assert len(A.layers(spark, state)) == (2 if every == 2 else 7)
+    A.merge_batch(state, 3)(df.limit(0), 98)  # run again, now with a merge
+    assert A.layers(spark, state) == [f"{state}/whole=98"]
     assert pairs(A.state(spark, state)) == live(rows)  # an empty batch, and one run again
     assert A.status(q)["writable"] is False
 
