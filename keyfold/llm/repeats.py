@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyfold.llm import kernels as K
-from keyfold.llm.common import bounded_batches, shuffle_width, written
+from keyfold.llm.common import bounded_batches, forget, shuffle_width, written
 from keyfold.llm.suffixes import Order, ordered
 
 #: One document in SAMPLE tells which blocks are wide (HOT different contexts there, SHARE of all at least) or frequent.
@@ -239,9 +239,11 @@ def hot_blocks(docs: DataFrame, unit: Unit) -> tuple[np.ndarray, np.ndarray]:
         if least is None:  # all contexts of the sample are at most as many as its symbols
             least = max(HOT, SHARE * (some.agg(F.sum(F.length("text"))).first()[0] or 0))
         found = blocks.where(F.col("n") >= F.lit(least)).collect()
+        forget(blocks)
         frequent = np.sort(np.array([r.h for r in found], np.int64))
         new = np.setdiff1d(np.array([r.h for r in found if r.m >= least], np.int64), wide)
         if not len(new):
+            forget(some)
             return frequent, wide
         wide = np.union1d(wide, new)
 

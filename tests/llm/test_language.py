@@ -80,3 +80,38 @@ def test_filter_too_large_to_broadcast_keeps_its_bits(spark, clashing, monkeypat
     whole, odd = of(docs), of(clashing)
     monkeypatch.setattr(L, "MOST_BYTES", 1 << 10)
     assert of(docs) == whole and of(clashing) == odd
+
+
+def exact_scores(rows):
+    """(doc_id, score) from exact counts in plain Python, quantised as the filter does it."""
+    value = L.counts_of_levels()
+    quantised = lambda c: float(value[L.level_of(np.array([c]))[0]]) if c else 0.0
+    docs = [(d, zlib.crc32(("" if d is None else str(d)).encode()) % 10 == 0, [*(t or "").encode().lower().split(), "end"]) for d, t in rows]
+    train = [ws for _, held, ws in docs if not held]
+    words, pairs = Counter(w for ws in train for w in ws), Counter(p for ws in train for p in zip(["start", *ws], ws, strict=False))
+    whole = sum(words.values()) + 0.1 * (len(words) + 1)
+    counts = {**{w: quantised(c) for w, c in words.items()}, "start": quantised(len(train))}
+    out = []
+    for d, _, ws in docs:
+        score = 0.0
+        for v, w in zip(["start", *ws], ws, strict=False):
+            q, qv = counts.get(w, 0.0), counts.get(v, 0.0)
+            both = min(quantised(pairs[v, w]), q, qv)
+            score += math.log10(min((both + L.PRIOR * (q + 0.1) / whole) / (qv + L.PRIOR), 1.0))
+        out.append((d, score))
+    return sorted(out, key=repr)
+
+
+def test_scores_are_those_of_exact_counts(spark, monkeypatch):
+    """With so many bits that nothing is read as seen by mistake the score is that of exact counts, by either way; with
+    the usual bits it stays near."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    want = exact_scores([tuple(r) for r in docs.collect()])
+    of = lambda: sorted(((r.doc_id, r.score) for r in L.language_model_scores(docs).collect()), key=repr)
+    usual = of()
+    assert abs(sum(s for _, s in usual) / sum(s for _, s in want) - 1) < 0.02
+    monkeypatch.setattr(L, "BITS", 400)
+    for most in (L.MOST_BYTES, 1 << 10):
+        monkeypatch.setattr(L, "MOST_BYTES", most)
+        for (d, got), (e, exact) in zip(of(), want, strict=True):
+            assert d == e and math.isclose(got, exact, rel_tol=1e-6)
