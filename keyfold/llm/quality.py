@@ -1,6 +1,6 @@
 """Operator 5: a quality classifier with hierarchical empirical Bayes over hosts and paths.
 
-A document classifier (sparse logistic regression over the words, word parts and measures a text has) gives
+A document classifier (sparse logistic regression over the hashed words, word parts and measures a text has) gives
 each document's own evidence. Its posteriors are summed up by host and by path within host; a path's mean is
 shrunk toward its host's and a host's toward the global mean, by prior strengths estimated from the
 spread of the site means themselves (method of moments). A document's score is its own log odds plus what
@@ -17,45 +17,95 @@ columns are kept, those named like a result are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from keyfold.llm.common import only, table, unused, written
+from keyfold.llm import kernels as K
+from keyfold.llm.common import bounded_batches, only, table, unused, written
 
 #: Labelled documents the classifier is fitted on, at most about; hashed features; regularisation.
-SAMPLE, FEATURES, REG = 20_000, 1 << 17, 1e-4
-SPACES = r"[\x20\x09-\x0D]+"
+SAMPLE, LOG_FEATURES, REG = 20_000, 17, 1e-4
+FEATURES = 1 << LOG_FEATURES
+#: ASCII characters that are neither letters nor digits nor white space.
+MARK = np.array([b < 128 and not chr(b).isalnum() and not K.SPACE[b] for b in range(256)])
 #: Weight of the site's evidence against the document's own, and bounds of a prior's strength in documents.
 SITE_WEIGHT, WEAKEST, STRONGEST = 0.5, 5.0, 1e4
 
 
-def tokens(text: Column) -> Column:
-    """What a text has, each once: its words in lower case without punctuation, the first six letters of each
-    (marked), the last two characters of each word as it stands (marked), and its measures in tenths: distinct
-    words, capitals, characters that are neither letter nor digit, word length, and its size in doublings."""
-    t = F.coalesce(text, F.lit(""))
-    words = lambda c: F.filter(F.split(c, SPACES), lambda x: x != "")
-    plain, raw = words(F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}\s]+", " ")), words(t)
-    n, chars = F.greatest(F.size(raw), F.lit(1)), F.greatest(F.length(t), F.lit(1))
-    tenth = lambda name, x: F.concat(F.lit(f"\t\t{name} "), F.floor(10 * x).cast("string"))
-    without = lambda pattern: F.length(F.regexp_replace(t, pattern, "")) / chars
-    measures = F.array(
-        tenth("distinct", F.size(F.array_distinct(plain)) / n), tenth("capital", without(r"[^\p{Lu}]+")), tenth("mark", without(r"[\p{L}\p{N}\s]+")),
-        tenth("length", chars / n / 20), F.concat(F.lit("\t\tsize "), F.floor(F.log2(n)).cast("string")),
-    )
-    starts = F.transform(plain, lambda x: F.concat(F.lit("\v"), F.left(x, F.lit(6))))
-    ends = F.transform(raw, lambda x: F.concat(F.lit("\t"), F.right(x, F.lit(2))))
-    return F.array_distinct(F.concat(plain, starts, ends, measures))
-
-
-def features(docs: DataFrame, text: str = "text", name: str = "_features") -> DataFrame:
-    """docs with a sparse vector of which hashed tokens the text has."""
-    held, name = unused(docs.columns, "_tokens", name)
-    tf = HashingTF(numFeatures=FEATURES, binary=True, inputCol=held, outputCol=name)
-    return tf.transform(docs.withColumn(held, tokens(F.col(f"`{text}`")))).drop(held)
+def marks(buf: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 belong to neither letters nor digits nor white space: ASCII marks, those of Latin-1 (C2 ..)
+    and general punctuation (E2 80 .., E2 81 ..). All other characters of several bytes count as letters."""
+    out = MARK[buf]
+    after = np.r_[buf[1:], np.zeros(2, np.uint8)]
+    two, three = np.flatnonzero(buf == 0xC2), np.flatnonzero((buf == 0xE2) & ((after[: len(buf)] & 0xFE) == 0x80))
+    for at, n in ((two, 2), (three, 3)):
+        for k in range(n):
+            out[np.minimum(at + k, len(buf) - 1)] = True
+    return out
+
+
+def hashed_features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, feature) of what each text has, each once, in order: its words in lower case (ASCII and Latin-1) without
+    marks, the first six letters of each, the last two characters of each word as it stands, and its measures in tenths:
+    distinct words, capitals, marks, word length, and its size in doublings."""
+    docs = len(offs) - 1
+    marked = marks(buf) if len(buf) else np.zeros(0, bool)
+    after = np.r_[buf[1:], np.zeros(1, np.uint8)][: len(buf)]
+    wide = (buf == 0xC3) & (after >= 0x80) & (after <= 0x9E) & (after != 0x97)
+    capitals = ((buf >= 65) & (buf <= 90)) | wide
+    low = K.LOWER[buf]
+    low[np.flatnonzero(wide) + 1] += 0x20
+    plain = (buf & 0xC0) != 0x80  # the first byte of each character
+    at, before = np.flatnonzero(plain), np.r_[0, np.cumsum(plain)]
+    starts, ends, doc = K.word_spans(np.where(marked, np.uint8(32), buf), offs)
+    sums = K.byte_sums(low)
+    sixth = np.r_[at, len(buf)][np.minimum(before[starts] + 6, len(at))]
+    words, parts = K.spans_hash(sums, starts, ends), K.spans_hash(sums, starts, np.minimum(ends, sixth))
+    first, last, own = K.word_spans(buf, offs)
+    second = at[np.maximum(before[last] - 2, 0)] if len(at) else first
+    tail = K.spans_hash(K.byte_sums(buf), np.maximum(first, second), last)
+    n = np.maximum(np.bincount(own, minlength=docs), 1)
+    per_doc = lambda flags: np.diff(np.r_[0, np.cumsum(flags)][offs])
+    chars = np.maximum(per_doc(plain), 1)
+    order = np.lexsort((words, doc))
+    new = np.ones(len(order), bool)
+    new[1:] = (words[order][1:] != words[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+    distinct = np.bincount(doc[order][new], minlength=docs)
+    tenths = [distinct / n, per_doc(capitals) / chars, per_doc(marked & plain) / chars, chars / n / 20]
+    measures = [np.floor(10 * x).astype(np.uint64) for x in tenths] + [np.floor(np.log2(n)).astype(np.uint64)]
+    every = np.arange(docs)
+    found = [(doc, words), (doc, parts ^ np.uint64(0x9E3779B97F4A7C15)), (own, tail ^ np.uint64(0xC2B2AE3D27D4EB4F))]
+    found += [(every, K.mix(x + (np.uint64(2 + i) << np.uint64(40)))) for i, x in enumerate(measures)]
+    whole = np.concatenate([d.astype(np.uint64) * np.uint64(FEATURES) + (h >> np.uint64(64 - LOG_FEATURES)) for d, h in found])
+    whole.sort()
+    fresh = np.ones(len(whole), bool)
+    fresh[1:] = whole[1:] != whole[:-1]
+    whole = whole[fresh]
+    return (whole >> np.uint64(LOG_FEATURES)).astype(np.int64), (whole & np.uint64(FEATURES - 1)).astype(np.int64)
+
+
+def features(docs: DataFrame, held: str, text: str = "text") -> DataFrame:
+    """(held, features): the sorted numbers of the hashed features each text has."""
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(F.col(f"`{held}`").alias("held"), F.col(f"`{text}`").cast("string").alias("text"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offs = K.text_buffer(batch.column(1))
+            for first, end in K.pieces(offs):
+                doc, feature = hashed_features(buf[offs[first] : offs[end]], offs[first : end + 1] - offs[first])
+                lists = K.list_array(feature, np.bincount(doc, minlength=end - first), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), lists], names=["held", "features"])
+
+    schema = T.StructType([T.StructField("held", rows.schema["held"].dataType), T.StructField("features", T.ArrayType(T.LongType()))])
+    return rows.mapInArrow(run, schema).withColumnRenamed("held", held)
 
 
 def labelled(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -70,20 +120,35 @@ def labelled(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LogisticRegressionModel | None:
     """The document classifier, None if the sample doesn't hold both kinds. The sample (16 bytes a row) is broadcast."""
     few = labelled(labels, sample)
-    train = written(features(only(docs, doc_id="bigint", text="string").join(F.broadcast(few), "doc_id")).select("label", "_features"), "train")
+    rows = only(docs, doc_id="bigint", text="string").join(F.broadcast(few), "doc_id").select("label", "text")
+    vector = F.udf(lambda x: Vectors.sparse(FEATURES, x, np.ones(len(x))), VectorUDT())
+    train = written(features(rows, "label").select("label", vector("features").alias("features")), "train")
     if train.select("label").distinct().count() < 2:
         return None
-    return LogisticRegression(featuresCol="_features", labelCol="label", regParam=REG, elasticNetParam=1.0, maxIter=80, standardization=False, aggregationDepth=2).fit(train)
+    return LogisticRegression(featuresCol="features", labelCol="label", regParam=REG, elasticNetParam=1.0, maxIter=80, standardization=False, aggregationDepth=2).fit(train)
 
 
-def evidence(docs: DataFrame, model: LogisticRegressionModel | None, text: str = "text") -> DataFrame:
-    """docs with doc_logit, the classifier's log odds of good."""
+def evidence(docs: DataFrame, model: LogisticRegressionModel | None, text: str = "text", columns: list[str] | None = None) -> DataFrame:
+    """docs, or some of their columns, with doc_logit, the classifier's log odds of good."""
+    held = [c for c in (docs.columns if columns is None else columns) if c != "doc_logit"]
     if model is None:
-        return docs.withColumn("doc_logit", F.lit(0.0))
-    docs = docs.drop("doc_logit")
-    vector, raw = unused(docs.columns, "_features", "_raw")
-    scored = model.setFeaturesCol(vector).setRawPredictionCol(raw).setProbabilityCol("").setPredictionCol("").transform(features(docs, text, vector))
-    return scored.withColumn("doc_logit", F.get(vector_to_array(raw), F.lit(1))).drop(raw, vector)
+        return docs.select(*[F.col(f"`{c}`") for c in held], F.lit(0.0).alias("doc_logit"))
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    weights = spark.sparkContext.broadcast((model.coefficients.toArray(), model.intercept))  # a number for each feature
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight, intercept = weights.value
+        for batch in batches:
+            buf, offs = K.text_buffer(batch.column(0))
+            for first, end in K.pieces(offs):
+                doc, feature = hashed_features(buf[offs[first] : offs[end]], offs[first : end + 1] - offs[first])
+                logit = intercept + np.bincount(doc, weight[feature], minlength=end - first)
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, end - first).columns[1:], pa.array(logit)], names=[*[f"c{i}" for i in range(len(held))], "doc_logit"])
+
+    rows = docs.select(F.col(f"`{text}`").cast("string").alias("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(held)])
+    schema = T.StructType([*rows.schema.fields[1:], T.StructField("doc_logit", T.DoubleType())])
+    return rows.mapInArrow(run, schema).toDF(*held, "doc_logit")
 
 
 def sigmoid(x: Column) -> Column:
@@ -141,6 +206,6 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"))
     rows = only(docs, doc_id="bigint", source="string", lang="string", text="string")
-    slim = written(evidence(rows, model).select("doc_id", "source", "lang", "doc_logit"), "evidence")
+    slim = written(evidence(rows, model, columns=["doc_id", "source", "lang"]), "evidence")
     out = classify(slim, model, sites(slim, "source", "lang"))
     return out.select("doc_id", "doc_logit", "host_posterior", "path_posterior", "score", "kept")

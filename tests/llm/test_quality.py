@@ -3,10 +3,13 @@ from __future__ import annotations
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from keyfold.llm import kernels as K
 from keyfold.llm import quality
+from tests.llm.conftest import odd_rows
 
 
 @pytest.fixture(scope="module")
@@ -99,3 +102,15 @@ def test_sample_is_bounded(spark):
 def test_fit_may_take_its_80_steps(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
     assert quality.fit(docs, labels).getMaxIter() == 80
+
+
+def test_features_belong_to_each_text_alone():
+    """A batch's features are those of its texts one by one; case and marks don't matter to words, null is as empty."""
+    texts = [t for t in (r[1] for r in odd_rows()) if t is None or len(t) < 20_000] + ["Ça va, “École”?", "ça va école", "¿Qué?", "x", "", None]
+    of = lambda ts: quality.hashed_features(*K.text_buffer(pa.array(ts, pa.string())))
+    doc, feature = of(texts)
+    for i, t in enumerate(texts):
+        assert feature[doc == i].tolist() == of([t])[1].tolist() == sorted(set(of([t])[1].tolist()))
+    one, two = (set(of([t])[1].tolist()) for t in ("Ça va, “École”?", "ça va école"))
+    assert len(one & two) >= 6  # three words and their beginnings
+    assert len(of([""])[1]) == 5 and of([None])[1].tolist() == of([""])[1].tolist()
