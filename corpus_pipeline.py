@@ -25,7 +25,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     text = F.col("text").cast("string")
     key = {"doc_id": F.col("doc_id").cast("string"), "source": F.col("source").cast("string"), "lang": F.col("lang").cast("string"), "hash": F.xxhash64(text)}
     # the evidence is written once; rows equal in these four have equal scores
-    slim = written(quality.evidence(docs.select(*[c.alias(n) for n, c in key.items()], text.alias("text")), model).select(*key, "doc_logit"), "evidence")
+    slim = written(quality.evidence(docs.select(*[c.alias(n) for n, c in key.items()], text.alias("text")), model, columns=list(key)), "evidence")
     bad = quality.classify(slim, model, quality.sites(slim, "source", "lang")).where(~F.col("kept"))
     names = dict(zip(key, unused(docs.columns, *(f"_{n}" for n in key)), strict=True))
     gone = bad.select(*[F.col(n).alias(name) for n, name in names.items()]).distinct()
