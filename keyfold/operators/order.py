@@ -16,10 +16,14 @@ def numbered(df: DataFrame, key: str, order: list[str | Column], name: str) -> D
     A large key is cut into parts between rows of its own, chosen by a hash of the whole order, so equal first columns are cut
     by the later ones. A place is that within the part behind the sizes of the parts before; only parts are sorted,
     and only their sizes, pre-aggregated, meet by key. Rows that are equal in the whole order stay in one part.
+    Whether there is a large key is looked up first, by a count of the keys; without one there is nothing to cut.
     """
     by = F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(f"o{i}") for i, c in enumerate(order)])
     rows = df.withColumn("_by", by)
     large = rows.groupBy(key).agg(F.count("*").alias("_size")).where(F.col("_size") > PART).withColumnRenamed(key, "_key")
+    if large.isEmpty():
+        place = F.row_number().over(W.partitionBy(key).orderBy("_by")) - 1
+        return rows.withColumn(name, place.cast("bigint")).drop("_by")
     one_in = F.ceil(F.col("_size") / F.least(F.lit(MOST), F.ceil(F.col("_size") / PART)))
     some = rows.select(F.col(key).alias("_key"), "_by").join(large, "_key").where(F.pmod(F.xxhash64("_by"), one_in) == 0)
     cuts = some.groupBy("_key").agg(F.array_sort(F.collect_set("_by")).alias("_cuts"))  # about MOST at most

@@ -102,11 +102,13 @@ def resets(log: DataFrame) -> DataFrame:
     """(key, reset, by, expire_time): operations with seq > reset are the key's last epoch; by is what began it (set,
     remove, expired), both null if nothing did. Keys without any of these have no row.
 
-    The last reset is a grouped maximum; a key's operations are never gathered. A log without ts or args has no deadlines.
+    The last reset is a grouped maximum; a key's operations are never gathered. A log without ts or args has no deadlines;
+    whether another one has any is looked up first.
     """
     last = log.where(F.col("op").isin("remove", "set")).groupBy("key").agg(F.max("seq").alias("reset"), F.max_by("op", "seq").alias("by"))
     last = last.select("key", F.col("reset").cast("bigint").alias("reset"), "by", F.lit(0).cast("bigint").alias("expire_time"))
-    if not {"ts", "args"} <= set(log.columns):
+    ttl = F.get("args", F.lit(1)).try_cast("bigint")
+    if not {"ts", "args"} <= set(log.columns) or log.where((F.col("op") == "expire") | ((F.col("op") == "set") & (ttl > 0))).isEmpty():
         return last
     dated = _dated(log).select("key", "reset", "by", "expire_time")
     both = last.withColumn("dated", F.lit(False)).unionByName(dated.withColumn("dated", F.lit(True)))
