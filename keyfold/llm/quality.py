@@ -18,21 +18,24 @@ columns are kept, those named like a result are replaced.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyfold.llm import kernels as K
-from keyfold.llm.common import bounded_batches, only, table, unused, written
+from keyfold.llm.common import bounded_batches, forget, only, table, unused, written
 
 #: Labelled documents the classifier is fitted on, at most about; hashed features; regularisation.
 SAMPLE, LOG_FEATURES, REG = 20_000, 17, 1e-4
 FEATURES = 1 << LOG_FEATURES
+#: A feature gets a weight if at least LEAST documents of the sample have it, and one in RARE.
+LEAST, RARE = 5, 1000
 #: ASCII characters that are neither letters nor digits nor white space.
 MARK = np.array([b < 128 and not chr(b).isalnum() and not K.SPACE[b] for b in range(256)])
 #: Weight of the site's evidence against the document's own, and bounds of a prior's strength in documents.
@@ -117,25 +120,50 @@ def labelled(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(keep)) == 0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> LogisticRegressionModel | None:
-    """The document classifier, None if the sample doesn't hold both kinds. The sample (16 bytes a row) is broadcast."""
+@dataclass(frozen=True)
+class Classifier:
+    """A weight for each hashed feature, the intercept, and how many steps the fit may take."""
+
+    weights: np.ndarray
+    intercept: float
+    steps: int
+
+    def getMaxIter(self) -> int:
+        return self.steps
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier | None:
+    """The document classifier, None if the sample doesn't hold both kinds. The sample (16 bytes a row) is broadcast.
+    Features that few documents of it have get no weight."""
     few = labelled(labels, sample)
     rows = only(docs, doc_id="bigint", text="string").join(F.broadcast(few), "doc_id").select("label", "text")
-    vector = F.udf(lambda x: Vectors.sparse(FEATURES, x, np.ones(len(x))), VectorUDT())
-    train = written(features(rows, "label").select("label", vector("features").alias("features")), "train")
-    if train.select("label").distinct().count() < 2:
+    found = written(features(rows, "label"), "features")
+    few_of_them = found.select(F.explode("features").alias("f")).groupBy("f").count().where(F.col("count") >= max(LEAST, found.count() / RARE)).select("f").orderBy("f").collect()
+    kept = np.array([r.f for r in few_of_them], np.int64)  # at most FEATURES
+    if not len(kept) or found.select("label").distinct().count() < 2:
         return None
-    return LogisticRegression(featuresCol="features", labelCol="label", regParam=REG, elasticNetParam=1.0, maxIter=80, standardization=False, aggregationDepth=2).fit(train)
+
+    def vector(x: list[int]) -> SparseVector:
+        at = np.minimum(np.searchsorted(kept, x), len(kept) - 1)
+        at = at[kept[at] == np.array(x)]
+        return Vectors.sparse(len(kept), at, np.ones(len(at)))
+
+    train = written(found.select("label", F.udf(vector, VectorUDT())("features").alias("features")), "train")
+    model = LogisticRegression(featuresCol="features", labelCol="label", regParam=REG, elasticNetParam=1.0, maxIter=80, standardization=False, aggregationDepth=2).fit(train)
+    weights = np.zeros(FEATURES)
+    weights[kept] = model.coefficients.toArray()
+    forget(found, train)
+    return Classifier(weights, model.intercept, model.getMaxIter())
 
 
-def evidence(docs: DataFrame, model: LogisticRegressionModel | None, text: str = "text", columns: list[str] | None = None) -> DataFrame:
+def evidence(docs: DataFrame, model: Classifier | None, text: str = "text", columns: list[str] | None = None) -> DataFrame:
     """docs, or some of their columns, with doc_logit, the classifier's log odds of good."""
     held = [c for c in (docs.columns if columns is None else columns) if c != "doc_logit"]
     if model is None:
         return docs.select(*[F.col(f"`{c}`") for c in held], F.lit(0.0).alias("doc_logit"))
     spark = docs.sparkSession
     bounded_batches(spark)
-    weights = spark.sparkContext.broadcast((model.coefficients.toArray(), model.intercept))  # a number for each feature
+    weights = spark.sparkContext.broadcast((model.weights, model.intercept))  # a number for each feature
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, intercept = weights.value
@@ -187,7 +215,7 @@ def sites(scored: DataFrame, host: str, path: str) -> DataFrame:
     return written(out, "site-priors")
 
 
-def classify(docs: DataFrame, model: LogisticRegressionModel | None, by_site: DataFrame, host: str = "source", path: str = "lang", text: str = "text") -> DataFrame:
+def classify(docs: DataFrame, model: Classifier | None, by_site: DataFrame, host: str = "source", path: str = "lang", text: str = "text") -> DataFrame:
     """docs with doc_logit, host_posterior, path_posterior, score (log odds of good) and kept (score >= 0)."""
     d = docs if "doc_logit" in docs.columns else evidence(docs, model, text)
     d = d.drop("host_posterior", "path_posterior", "score", "kept")
