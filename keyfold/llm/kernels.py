@@ -21,6 +21,8 @@ _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 #: Bytes of text that are worked on at a time; a longer document is a piece of its own.
 PIECE = 1 << 20
+#: The same for work that makes many arrays of a piece: Python workers keep about what they once needed.
+SMALL = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -96,7 +96,7 @@ def sketch(docs: DataFrame, size: int, bands_of: int, rows_of: int) -> DataFrame
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offs = K.text_buffer(batch.column(1))
-            for first, end in K.pieces(offs):
+            for first, end in K.pieces(offs, K.SMALL):
                 part = buf[offs[first] : offs[end]]
                 g, d = shingles(part, offs[first : end + 1] - offs[first], size)
                 n = np.bincount(d, minlength=end - first)
@@ -174,7 +174,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
         for batch in batches:
             (u, ou), (v, ov) = K.text_buffer(batch.column(2)), K.text_buffer(batch.column(3))
             linked = np.zeros(batch.num_rows, bool)
-            for first, end in K.pieces(ou + ov):
+            for first, end in K.pieces(ou + ov, K.SMALL):
                 (g, d), (h, e) = (shingles(t[o[first] : o[end]], o[first : end + 1] - o[first], size) for t, o in ((u, ou), (v, ov)))
                 all_d, all_g = np.concatenate([d, e]), np.concatenate([g, h])
                 order = np.lexsort((all_g, all_d))
@@ -198,7 +198,7 @@ def shared_shingles(texts: DataFrame, rows: DataFrame, nodes: DataFrame, size: i
         for batch in batches:
             buf, offs = K.text_buffer(batch.column(1))
             node = np.asarray(batch.column(0))
-            for first, end in K.pieces(offs):
+            for first, end in K.pieces(offs, K.SMALL):
                 g, d = shingles(buf[offs[first] : offs[end]], offs[first : end + 1] - offs[first], size)
                 yield pa.RecordBatch.from_arrays([pa.array(node[first:end][d]), pa.array(g.view(np.int64))], names=["node", "g"])
 
@@ -242,7 +242,7 @@ def tiled_links(rows: DataFrame, texts: DataFrame, nodes: DataFrame, size: int,
         x, y = tile["x"][0].as_py(), tile["y"][0].as_py()
         own, node, c = (np.asarray(tile[n].combine_chunks()) for n in ("own", "node", "c"))
         buf, offs = K.text_buffer(tile["text"].combine_chunks())
-        parts = [(g, d + first) for first, end in K.pieces(offs) for g, d in [shingles(buf[offs[first] : offs[end]], offs[first : end + 1] - offs[first], size)]]
+        parts = [(g, d + first) for first, end in K.pieces(offs, K.SMALL) for g, d in [shingles(buf[offs[first] : offs[end]], offs[first : end + 1] - offs[first], size)]]
         g, d = (np.concatenate(p) for p in zip(*parts, strict=True))
         n = np.bincount(d, minlength=len(own))
         _, at, times = np.unique(g, return_inverse=True, return_counts=True)

@@ -102,7 +102,7 @@ def features(docs: DataFrame, held: str, text: str = "text") -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offs = K.text_buffer(batch.column(1))
-            for first, end in K.pieces(offs):
+            for first, end in K.pieces(offs, K.SMALL):
                 doc, feature = hashed_features(buf[offs[first] : offs[end]], offs[first : end + 1] - offs[first])
                 lists = K.list_array(feature, np.bincount(doc, minlength=end - first), pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), lists], names=["held", "features"])
@@ -169,7 +169,7 @@ def evidence(docs: DataFrame, model: Classifier | None, text: str = "text", colu
         weight, intercept = weights.value
         for batch in batches:
             buf, offs = K.text_buffer(batch.column(0))
-            for first, end in K.pieces(offs):
+            for first, end in K.pieces(offs, K.SMALL):
                 doc, feature = hashed_features(buf[offs[first] : offs[end]], offs[first : end + 1] - offs[first])
                 logit = intercept + np.bincount(doc, weight[feature], minlength=end - first)
                 yield pa.RecordBatch.from_arrays([*batch.slice(first, end - first).columns[1:], pa.array(logit)], names=[*[f"c{i}" for i in range(len(held))], "doc_logit"])
